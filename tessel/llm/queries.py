@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm.decontaminate import decontaminate
+from tessel.llm.near_dup import near_duplicates
+from tessel.llm.phrase_dedup import remove_repeats
 from tessel.llm.repetition import repetition
 from tessel.llm.shared import table
 
@@ -13,8 +15,16 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hit_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op4_repeated_phrases, op6_near_duplicates, op9_decontaminate)}
