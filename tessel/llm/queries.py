@@ -12,7 +12,9 @@ from tessel.llm.phrase_dedup import remove_repeats
 from tessel.llm.pii import pii_report
 from tessel.llm.preference import preference_report
 from tessel.llm.repetition import repetition
+from tessel.llm.secrets import secret_report
 from tessel.llm.shared import table
+from tessel.llm.toxicity import toxicity
 
 
 def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +45,16 @@ def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_report(table(spark, sf_dir, "conversations"))
 
 
+def op8_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("offending")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hit_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_weighted_fair_mix, op3_fuzzy_lines, op4_repeated_phrases, op5_pii_spans, op6_near_duplicates, op7_preference_format, op9_decontaminate)}
+def op10_inferred_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_weighted_fair_mix, op3_fuzzy_lines, op4_repeated_phrases, op5_pii_spans, op6_near_duplicates, op7_preference_format, op8_noisy_or_toxicity, op9_decontaminate, op10_inferred_formats)}

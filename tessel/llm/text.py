@@ -100,6 +100,17 @@ def hashed(words: pa.Array) -> np.ndarray:
     return out
 
 
+def prefixes(words: pa.Array, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first bytes of each word, for each size below the word's own (at most 8), and the word of each."""
+    at, data = raw(words)
+    at = at.astype(np.int64)
+    size = np.diff(at)
+    padded = np.frombuffer(data + bytes(16), np.uint8)
+    eight = np.ndarray((len(data) + 8,), "<u8", padded.data, strides=(1,))[at[:-1]]
+    owner = [np.flatnonzero(size > n) for n in sizes]
+    return np.concatenate([mix((eight[w] & _MASKS[n]) * U(16) + U(n)) for n, w in zip(sizes, owner, strict=True)]), np.concatenate(owner)
+
+
 class Grams:
     """Hashes of the word sequences of any length that start at each position; made from halves and kept."""
 
