@@ -6,10 +6,9 @@ bits and the least of each bin is kept; an empty bin borrows from another, found
 of the set, and only the least document of a class goes on: thousands of copies are one row from there.
 
 Bands of ROWS bins are bucket keys. A bucket of m documents yields m - 1 candidates, from its least document to each other.
-Candidates are confirmed on the full shingle sets. A pair may miss each other in a star when neither is the hub; so buckets
-that still hold more than one component after a round are taken up again: those outside the bucket's largest holding
-component are hubs in turn, a slice of them each round, against the members of other components, until none is left.
-At a similarity of 0.75 a pair shares no bucket with a probability of about 5 in a million (32 bands of 4).
+Candidates are confirmed on the full shingle sets. Two documents may miss each other in a star when neither is the hub; so
+clusters of candidates that hold several components after this are settled exactly, in blocks (see link()). At a
+similarity of 0.75 a pair shares no bucket with a probability of about 5 in a million (32 bands of 4).
 """
 
 from __future__ import annotations
@@ -25,8 +24,8 @@ from tessel.llm.shared import append, cut, id_and_text
 from tessel.llm.text import LOWER, Grams, U, doc_of, hashed, inside, mix, pair, per_doc, raw, split, starts_of
 
 BINS, ROWS = 128, 4
-#: Hubs that a bucket puts forward in a later round, on average.
-HUBS = 8
+#: Members of a cluster in a block, on average.
+BLOCK = 32
 
 LONG = T.LongType()
 
@@ -106,40 +105,31 @@ def confirmed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return near.where(percent * F.greatest(F.size("set_a"), F.size("set_b")) <= 100 * F.least(F.size("set_a"), F.size("set_b"))).where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
 
 
-def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, hubs: int = HUBS) -> DataFrame:
-    """(node, component) from bucket members (key, doc_id) and known links (a, b): stars first, then what these leave open.
+def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, component) from bucket members (key, doc_id), their sets (doc_id, set) and known links (a, b).
 
-    It ends after a sweep over all slices that finds no new link: then any two members of a bucket are in one component or
-    were compared.
+    Stars first. The candidates, confirmed or not, tie documents into clusters; a cluster that the confirmed ones leave in
+    several components is settled exactly: each member outside its largest component (a guest) is compared with all members
+    of other components. Members are dealt into blocks and a guest meets a block as one row, so no pair is ever a row unless it is a link.
     """
     star = members.groupBy("key").agg(F.min("doc_id").alias("a"))
-    tested = cut(members.join(star, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
-    parts = components(confirmed(tested, sets, percent).union(known))
-    turn = 0
-    while True:
-        held = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        held = cut(held.join(mixed, "key"))
-        # The component with most members of a bucket stays at home; members of all others are guests, a slice of them in turn.
-        counts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        home = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.ceil((F.sum("n") - F.max("n")) / F.lit(hubs)).alias("slices"))
-        home = cut(home)
-        last = (home.agg(F.max("slices")).first()[0] or 1) - 1
-        new = False
-        while turn <= last and not new:
-            guests = held.join(home, "key").where((F.col("component") != F.col("home")) & (F.pmod(F.xxhash64("doc_id"), F.col("slices")) == turn))
-            pairs = guests.select("key", F.col("doc_id").alias("g"), F.col("component").alias("c")).join(held, "key").where("c <> component")
-            pairs = pairs.select(F.least("g", "doc_id").alias("a"), F.greatest("g", "doc_id").alias("b")).distinct()
-            pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-            if not pairs.isEmpty():
-                tested = tested.union(pairs)
-                found = cut(confirmed(pairs, sets, percent))
-                new = not found.isEmpty()
-            turn += 1
-        if not new:
-            return parts
-        parts = components(found.union(parts.select(F.col("component").alias("a"), F.col("node").alias("b"))))
-        turn = 0
+    pairs = cut(members.join(star, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
+    linked = cut(confirmed(pairs, sets, percent).union(known))
+    parts = components(linked)
+    rows = components(pairs).withColumnRenamed("component", "cluster").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.ceil(F.sum("n") / F.lit(block)).alias("blocks"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    rows = cut(rows.join(mixed, "cluster").join(sets.withColumnRenamed("doc_id", "node"), "node"))
+    dealt = rows.withColumn("turn", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.groupBy("cluster", "turn").agg(F.collect_list(F.struct("node", "component", "set")).alias("block"))
+    guests = rows.where("component <> home").select("cluster", F.col("node").alias("a"), F.col("component").alias("own"), F.col("set").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("turn"))
+
+    def near(m):
+        most, least = F.greatest(F.size("mine"), F.size(m["set"])), F.least(F.size("mine"), F.size(m["set"]))
+        return (m["component"] != F.col("own")) & (percent * most <= 100 * least) & ((100 + percent) * F.size(F.array_intersect("mine", m["set"])) >= percent * (most + least))
+
+    found = guests.join(dealt, ["cluster", "turn"]).select("a", F.explode(F.transform(F.filter("block", near), lambda m: m["node"])).alias("b"))
+    return components(linked.union(found))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int = BINS, rows: int = ROWS) -> DataFrame:
