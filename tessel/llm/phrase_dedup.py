@@ -6,7 +6,7 @@
 2. The recurring phrases of a block of documents are compiled into one automaton (pyahocorasick), a shard whose size is bounded
    by its block; the block's documents stream through it, and every occurrence of every phrase is located. Words enter the automaton
    as three symbols of a small alphabet, so its nodes stay narrow. Windows around the located phrases are the candidates.
-3. Candidates meet by a 128-bit hash of their 20 words; the least doc_id is the first. All windows elsewhere are removed, and in
+3. Candidates meet by a 96-bit hash of their 20 words; the least doc_id is the first. All windows elsewhere are removed, and in
    the last pass later repeats within a document too.
 
 Documents with the same word sequence are found by a 128-bit digest beforehand: all but the least doc_id are removed whole.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.shared import append, cut, id_and_text, tune
+from tessel.llm.shared import append, cut, id_and_text, release, tune
 from tessel.llm.text import Grams, U, blocks, covered, doc_of, hashed, inside, mix, pair, per_doc, raw, sliding, split, starts_of
 
 PHRASE = 7
@@ -128,19 +128,22 @@ def candidates(docs: DataFrame, window: int, phrase: int) -> DataFrame:
             for i in range(window):
                 b = (b ^ mix(words[at + i] + U(i))) * U(0x9E3779B97F4A7C15)
             own = owner[at]
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), block.column("doc_id").take(pa.array(own)), pa.array((at - starts_of(ends)[own]).astype(np.int32))], names=["a", "b", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((b >> U(32)).astype(np.uint32).view(np.int32)), block.column("doc_id").take(pa.array(own)), pa.array((at - starts_of(ends)[own]).astype(np.int32))], names=["a", "b", "doc_id", "at"])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("a", LONG), T.StructField("b", LONG), T.StructField("doc_id", LONG), T.StructField("at", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([T.StructField("a", LONG), T.StructField("b", T.IntegerType()), T.StructField("doc_id", LONG), T.StructField("at", T.IntegerType())]))
 
 
 def marks(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(doc_id, at): the windows that also start in a document of a smaller id."""
+    """(doc_id, part): the windows of each document that also start in a document of a smaller id."""
     prints = cut(fingerprints(docs, window, phrase))
     recurring = prints.groupBy("h").agg(F.min("text_a").alias("x"), F.max("text_a").alias("y")).where("x <> y").select("h")
     asked = prints.select("h", "doc_id").join(recurring, "h").groupBy("doc_id").agg(F.collect_set("h").alias("asked"))
     found = cut(candidates(docs.join(asked, "doc_id"), window, phrase))
+    release(prints)
     first = found.groupBy("a", "b").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("a", "b", "x")
-    return found.join(first, ["a", "b"]).where("doc_id > x").select("doc_id", "at")
+    out = cut(found.join(first, ["a", "b"]).where("doc_id > x").groupBy("doc_id").agg(F.collect_set("at").alias("part")))
+    release(found)
+    return out
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -169,7 +172,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, phrase: int = PHRASE) -
     texts = id_and_text(docs)
     known = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
     whole = copies(known).groupBy("doc_id").agg(F.collect_set("text_a").alias("whole"))
-    part = marks(known, window, phrase).groupBy("doc_id").agg(F.collect_set("at").alias("part"))
+    part = marks(known, window, phrase)
     both = cut(whole.join(part, "doc_id", "full"))
 
     def erase(block: pa.RecordBatch) -> list[pa.Array]:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 #: Rows in an Arrow batch. Texts can be long, so batches stay far below Spark's default of 10,000 rows.
 ARROW_ROWS = 1000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,11 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: its lineage ends there, and a lost executor costs nothing that was written."""
+    """Write df as a table in the shared folder and read it back: its lineage ends there, and a lost executor costs nothing that was
+    written. The shuffle files behind it have served, and go at once rather than when the driver happens to collect garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessel/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once nothing unfinished reads them."""
+    for table in tables:
+        spark, path = table.sparkSession, getattr(table, "_written", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def tune(spark: SparkSession) -> None:
