@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -32,8 +32,6 @@ from tessel.sources.manifest import MAX_ID, Catalog, CollectionConfig, Entry, Ma
 
 ROW = "id bigint, vector array<float>, metadata string"
 ARROW_ROW = pa.schema([("id", pa.int64()), ("vector", pa.list_(pa.float32())), ("metadata", pa.string())])
-#: Manifest entries of a collection before its small batches are worth a compaction of files.
-MERGE_AT = 256
 
 
 @dataclass(frozen=True)
@@ -275,7 +273,7 @@ class Collection:
     def _holds(self, entry: Entry, vector_id: int) -> bool:
         try:
             found = entry.batches and ds.dataset([p for b, _ in entry.batches for p in _parts(self.db.path / b)]).scanner(columns=["id"], filter=pc.field("id") == vector_id).head(1).num_rows
-            gone = entry.tombstones and ds.dataset([str(self.db.path / t) for t in entry.tombstones]).scanner(filter=pc.field("id") == vector_id).head(1).num_rows
+            gone = entry.tombstones and ds.dataset([p for t in entry.tombstones for p in _parts(self.db.path / t)]).scanner(filter=pc.field("id") == vector_id).head(1).num_rows
         except (OSError, pa.ArrowInvalid) as e:
             raise Corrupt(str(e)) from e
         return bool(found) and not gone
@@ -292,7 +290,7 @@ class Collection:
             n = self.db.spark.read.schema("id bigint").parquet(self.db._file(name)).count()
             if n:
                 entry.config.revision += 1
-                entry.tombstones += [p.relative_to(self.db.path).as_posix() for p in map(Path, _parts(self.db.path / name))]
+                entry.tombstones.append(name)
                 entry.deleted += n
                 self.db._catalog.commit(now)
             return self.upsert_batch(rows)
@@ -317,11 +315,12 @@ class Collection:
         with self.db._catalog.mutex:
             return self._rows(self._entry(self.db._catalog.read()))
 
-    def _rows(self, entry: Entry) -> DataFrame:
+    def _rows(self, entry: Entry, *more: Column) -> DataFrame:
         spark = self.db.spark
         if not entry.batches:
-            return spark.createDataFrame([], ROW)
+            return spark.createDataFrame([], f"{ROW}, file string" if more else ROW)
         rows = spark.read.schema(ROW).parquet(*(self.db._file(b) for b, _ in entry.batches))
+        rows = rows.select("*", *more) if more else rows
         gone = self._gone(entry)
         return rows if gone is None else rows.join(gone, "id", "left_anti")
 
@@ -330,8 +329,10 @@ class Collection:
 
     def locations(self) -> DataFrame:
         """(id, collection, dim, file) of the live rows, ascending by id."""
-        config = self.config()
-        return self.rows().select("id", F.lit(self._name).alias("collection"), F.lit(config.dim).alias("dim"), F.input_file_name().alias("file")).orderBy("id")
+        with self.db._catalog.mutex:
+            entry = self._entry(self.db._catalog.read())
+            rows = self._rows(entry, F.col("_metadata.file_path").alias("file"))
+        return rows.select("id", F.lit(self._name).alias("collection"), F.lit(entry.config.dim).alias("dim"), "file").orderBy("id")
 
     def get_metadata(self, vector_id: int):
         """The parsed metadata of a live row; None also if there is no such row."""
