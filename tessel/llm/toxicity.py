@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.shared import append, id_and_text
-from tessel.llm.text import LOWER, U, hashed, prefixes, raw, split, starts_of
+from tessel.llm.shared import append, id_and_text, tune
+from tessel.llm.text import LOWER, U, blocks, hashed, prefixes, raw, split, starts_of
 
 #: Labelled documents that training takes at most.
-SAMPLE = 10_000
+SAMPLE = 20_000
 BITS = 18
 PREFIXES = (5, 6, 7, 8)
 FOLDS = 5
@@ -55,16 +55,14 @@ def sentence_logits(model: Model, features: np.ndarray, owner: np.ndarray, some:
 
 
 def evidence(logits: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """-log of the probability that no sentence is toxic."""
-    soft = np.logaddexp(0.0, logits)
-    total = np.concatenate([[0.0], np.cumsum(soft)])
-    return np.maximum(total[ends] - total[starts_of(ends)], 0.0)
+    """-log of the probability that no sentence is toxic; every document has a sentence, and its sum is its own."""
+    return np.add.reduceat(np.logaddexp(0.0, logits), starts_of(ends)) if len(ends) else np.zeros(0)
 
 
 def fit(features: np.ndarray, owner: np.ndarray, some: np.ndarray, docs: np.ndarray, labels: np.ndarray, *, rounds: int = 120, rate: float = 0.15, decay: float = 5e-5, least: int = 5) -> Model:
     """Adam on the noisy-or likelihood; features of fewer than ``least`` documents carry no weight."""
     weights = np.zeros(1 << BITS, np.float32)
-    if not len(features) or not len(labels):
+    if not len(labels) or not some.any():
         return Model(weights, -20.0)
     doc = np.repeat(np.arange(len(docs)), docs - starts_of(docs))
     once = np.unique(doc[owner].astype(np.int64) * (1 << BITS) + features) % (1 << BITS)
@@ -99,22 +97,54 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: i
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().where(fold_of() != 0)
     chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
+    # The sample's ids are at most ``sample`` rows, whatever the size of the tables.
+    texts = id_and_text(docs).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    kept = docs.sparkSession.sparkContext.broadcast(telling(texts))
+
     def pack(block: pa.RecordBatch) -> list[pa.Array]:
         features, owner, some, docs = sentences(block.column("text"))
+        use = kept.value[features]
+        features, owner = features[use], owner[use]
         order = np.argsort(owner, kind="stable")
         counts = np.bincount(owner, minlength=len(some))
         width = np.append(0, np.cumsum(counts))[np.append(0, docs)]
         lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32()))
-        return [lists(width, features[order]), lists(np.append(0, docs), counts)]
+        # A sentence without words counts -1; one with words, but none that tells, 0.
+        return [lists(width, features[order]), lists(np.append(0, docs), np.where(some, counts, -1))]
 
-    # The sample's ids are at most ``sample`` rows, whatever the size of the tables.
-    texts = id_and_text(docs).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
     fields = [T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("features", "counts")]
     got = append(texts, pack, fields).drop("text").toArrow().sort_by("doc_id")
     flat = [got.column(c).combine_chunks() for c in ("features", "counts")]
     features, counts = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int32) for x in flat)
     ends = np.cumsum(pc.list_value_length(flat[1]).to_numpy(zero_copy_only=False).astype(np.int64))
-    return fit(features, np.repeat(np.arange(len(counts), dtype=np.int32), counts), counts > 0, ends, got.column("y").to_numpy())
+    return fit(features, np.repeat(np.arange(len(counts), dtype=np.int32), np.maximum(counts, 0)), counts >= 0, ends, got.column("y").to_numpy())
+
+
+def telling(labelled: DataFrame, *, least: int = 5, z: float = 2.0) -> np.ndarray:
+    """Which of the 2^BITS features documents of one label have more often than those of the other, beyond chance.
+
+    Counted on the executors; a count for each feature and label reaches the driver, a table of fixed size.
+    """
+
+    tune(labelled.sparkSession)
+
+    def count(batches):
+        for block in blocks(batches):
+            features, owner, _, docs = sentences(block.column("text"))
+            doc = np.repeat(np.arange(len(docs)), docs - starts_of(docs))[owner]
+            once = np.unique(doc * (1 << BITS) + features)
+            y = block.column("y").to_numpy()[once >> BITS] > 0
+            got, n = np.unique((once & ((1 << BITS) - 1)) * 2 + y, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(n)], names=["f", "n"])
+
+    sums = labelled.select("text", "y").mapInArrow(count, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    total = {bool(r["y"]): r["n"] for r in labelled.groupBy((F.col("y") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = np.zeros(2 << BITS)
+    seen[sums.column("f").to_numpy()] = sums.column("n").to_numpy()
+    few, many = seen[::2], seen[1::2]
+    n0, n1 = max(1, total.get(False, 0)), max(1, total.get(True, 0))
+    p = (few + many + 1) / (n0 + n1 + 2)
+    return (few + many >= least) & (np.abs(many / n1 - few / n0) >= z * np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)))
 
 
 def apply(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -67,7 +67,7 @@ def test_formats_are_recognised_and_others_left_alone():
     names = [*secrets.KINDS, *machines]
     for kind, values in secrets.examples(100, seed=99).items():
         hits = [secrets.scan(f"see {v} here".encode(), machines, names) for v in values]
-        assert sum([names[h[0][1]] for h in hit] == [kind] if (h := hit) else False for hit in hits) >= 90
+        assert sum([names[h[1]] for h in hit] == [kind] for hit in hits) >= 90
     draw = random.Random(3)
     other = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEF-_./") for _ in range(draw.randint(20, 60))) for _ in range(500)]
     other += ["https://www.example.com/path/2024/01/page1.html", "user19@mail5.example.com", "2024-01-01T00:00:00Z-build-1234567"]
