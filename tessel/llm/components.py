@@ -3,6 +3,8 @@
 Each round every node learns the least node near it and passes it on; edges are rewritten until each node hangs directly on
 the least node of its component. Only DataFrame operations are used, every round is cut by a written table, and a node with
 very many edges is pre-aggregated before its edges are dealt out, after which Spark's skew join can split it.
+
+Edges of several graphs can be settled together: ``g`` tells the graphs apart, and the rounds are shared.
 """
 
 from __future__ import annotations
@@ -10,35 +12,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import cut
+from tessel.llm.shared import cut, release
+
+AT = ["g", "u"]
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Every greater neighbour of u is hung on the least of u and its neighbours."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    """Every greater neighbour of u is hung on the least of u and its neighbours; edges have u > v and may repeat."""
+    turned = edges.select("g", F.col("v").alias("u"), F.col("u").alias("v"))
+    least = edges.union(turned).groupBy(*AT).agg(F.min("v").alias("m")).select(*AT, F.least("u", "m").alias("m"))
+    return turned.join(least, AT).select("g", F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    """u and its lesser neighbours are hung on the least of these; edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hung = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
+    """u and its lesser neighbours are hung on the least of these; edges have u > v and may repeat."""
+    least = edges.groupBy(*AT).agg(F.min("v").alias("m"))
+    hung = edges.join(least, AT).select("g", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return hung.union(least.select(*AT, F.col("m").alias("v"))).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("g", "u", "v"))).first()
     return tuple(row)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node with an edge; component is the least node reachable. Loops and repeats are harmless."""
-    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+def graph_components(edges: DataFrame) -> DataFrame:
+    """(g, node, component) for edges (g, a, b): component is the least node reachable. Loops and repeats are harmless."""
+    now = cut(edges.select("g", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = _mark(now)
     while mark[0]:
-        now = cut(_small(_large(now)))
+        old, now = now, cut(_small(_large(now)))
+        release(old)
         last, mark = mark, _mark(now)
         if mark == last:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    roots = now.select("g", F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select("g", F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of one graph's edges, for every node that has one."""
+    return graph_components(edges.select(F.lit(0).alias("g"), F.col(a).alias("a"), F.col(b).alias("b"))).drop("g")

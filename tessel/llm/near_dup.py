@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.components import components
-from tessel.llm.shared import append, cut, id_and_text
+from tessel.llm.components import components, graph_components
+from tessel.llm.shared import append, cut, id_and_text, release
 from tessel.llm.text import LOWER, Grams, U, doc_of, hashed, inside, mix, pair, per_doc, raw, split, starts_of
 
 BINS, ROWS = 128, 4
@@ -115,8 +115,11 @@ def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, bl
     star = members.groupBy("key").agg(F.min("doc_id").alias("a"))
     pairs = cut(members.join(star, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
     linked = cut(confirmed(pairs, sets, percent).union(known))
-    parts = components(linked)
-    rows = components(pairs).withColumnRenamed("component", "cluster").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    both = linked.select(F.lit(0).alias("g"), "a", "b").union(pairs.select(F.lit(1).alias("g"), "a", "b"))
+    both = cut(graph_components(both))
+    parts = both.where("g = 0").drop("g")
+    clusters = both.where("g = 1").select("node", F.col("component").alias("cluster"))
+    rows = clusters.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.ceil(F.sum("n") / F.lit(block)).alias("blocks"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
     rows = cut(rows.join(mixed, "cluster").join(sets.withColumnRenamed("doc_id", "node"), "node"))
@@ -128,8 +131,14 @@ def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, bl
         most, least = F.greatest(F.size("mine"), F.size(m["set"])), F.least(F.size("mine"), F.size(m["set"]))
         return (m["component"] != F.col("own")) & (percent * most <= 100 * least) & ((100 + percent) * F.size(F.array_intersect("mine", m["set"])) >= percent * (most + least))
 
-    found = guests.join(dealt, ["cluster", "turn"]).select("a", F.explode(F.transform(F.filter("block", near), lambda m: m["node"])).alias("b"))
-    return components(linked.union(found))
+    found = guests.join(dealt, ["cluster", "turn"]).select("own", F.explode(F.transform(F.filter("block", near), lambda m: m["node"])).alias("b"))
+    # What is left to join are whole components, by the least node of each.
+    ends = found.join(parts.select(F.col("node").alias("b"), F.col("component").alias("other")), "b", "left")
+    merged = cut(components(ends.select(F.col("own").alias("a"), F.coalesce("other", "b").alias("b"))))
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("above"))
+    out = cut(parts.join(merged, "component", "left").select("node", F.coalesce("above", "component").alias("component")).union(merged.select("component", "above")).distinct())
+    release(pairs, linked, rows, both)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -159,5 +168,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, bins:
     twice = classed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     parts = link(members, sets, percent, twice.join(classed, "doc_id").select("a", F.col("rep").alias("b")).distinct())
     named = classed.select("doc_id", "rep").distinct().join(parts.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    named = cut(named)
+    release(members, sets, classed)
     out = signed.select("doc_id", "n_shingles").join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -156,7 +156,7 @@ def copies(docs: DataFrame) -> DataFrame:
     key = ["text_a", "text_b"]
     signed = cut(append(docs, sign, [*(T.StructField(x, LONG) for x in key), T.StructField("n", LONG)]).drop("text").where("n > 0"))
     first = signed.groupBy(*key).agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select(*key, "x")
-    return signed.join(first, key).where("doc_id > x").select("doc_id", *key).distinct()
+    return signed.join(first, key).where("doc_id > x").select("doc_id", *key)
 
 
 RESULT = [T.StructField("n_words", LONG), T.StructField("n_removed", LONG), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
