@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.components import components  # noqa: F401  (the union-find that link() uses)
 from tessel.llm.near_dup import link
-from tessel.llm.shared import cut, id_and_text
+from tessel.llm.shared import cut, id_and_text, release
 
 WIDTH, BANDS = 12, 10
 WORDY = r"[^\x20\x09-\x0D]"
@@ -22,9 +22,13 @@ WORDY = r"[^\x20\x09-\x0D]"
 ANCHORED = r"(?s)(?=((?:(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]|[฀-໿ក-៿぀-ヿ㐀-鿿가-힯]).{0,%d}))" % (WIDTH - 1)
 
 
+def shingles(line: Column) -> Column:
+    """A line's character shingles, repeats included."""
+    return F.regexp_extract_all(F.lower(line), F.lit(ANCHORED), F.lit(1))
+
+
 def shingle_hashes(line: Column) -> Column:
-    """Hashes of a line's character shingles, repeats included."""
-    return F.transform(F.regexp_extract_all(F.lower(line), F.lit(ANCHORED), F.lit(1)), lambda x: F.xxhash64(x))
+    return F.transform(shingles(line), lambda x: F.xxhash64(x))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -41,27 +45,27 @@ def duplicate_lines(docs: DataFrame, *, percent: int = 75, bands: int = BANDS) -
     the same place are kept or removed together.
     """
     lines = lines_of(docs).withColumn("id", F.xxhash64("line"))
-    placed = cut(lines.select("doc_id", "line_no", "id", "line").withColumn("h", shingle_hashes(F.col("line"))).select("doc_id", "line_no", "id", *_bands(bands)))
-    banded = placed.select(F.col("id").alias("doc_id"), F.explode("bands").alias("key")).distinct()
+    placed = cut(lines.select("doc_id", "line_no", "id"))
+    # One row for each shingle, hashed and reduced in generated code before anything is shuffled.
+    single = lines.select("id", F.explode(shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
+    least = single.groupBy("id").agg(*(F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(2 * bands)))
+    keys = F.array(*(F.xxhash64(F.lit(i), f"m{2 * i}", f"m{2 * i + 1}") for i in range(bands)))
+    banded = cut(least.select(F.col("id").alias("doc_id"), F.explode(keys).alias("key")))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
     members = cut(banded.join(shared, "key"))
+    release(banded)
     asked = members.select(F.col("doc_id").alias("id")).distinct()
     texts = lines.select("id", "line").join(asked, "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
     sets = cut(texts.select(F.col("id").alias("doc_id"), F.array_distinct(shingle_hashes(F.col("line"))).alias("set")))
     known = placed.sparkSession.createDataFrame([], "a long, b long")
     parts = cut(link(members, sets, percent, known).withColumnRenamed("node", "id"))
+    release(members, sets)
     placed = placed.join(parts, "id", "left").select("doc_id", "line_no", F.coalesce("component", "id").alias("component"))
     first = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first")).where("n > 1")
     first = first.select("component", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"))
     return placed.join(first, "component").where("doc_id <> d OR line_no <> l").select("doc_id", "line_no")
 
 
-def _bands(bands: int) -> list[Column]:
-    seeded = lambda i: lambda x: F.xxhash64(x, F.lit(i))
-    least = [F.array_min(F.transform("h", seeded(i))) for i in range(2 * bands)]
-    return [F.array(*(F.xxhash64(F.lit(i), least[2 * i], least[2 * i + 1]) for i in range(bands))).alias("bands")]
-
-
 def removed_by_document(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, removed): the line numbers to remove, ascending; only documents that lose a line."""
     return duplicate_lines(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
