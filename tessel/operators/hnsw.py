@@ -93,11 +93,27 @@ class Graph:
                 heapq.heappush(todo, (e, n))
         return sorted((-d, -n) for d, n in best)
 
+    def mutual(self, nodes: list[int]) -> np.ndarray:
+        """Distances of all pairs of nodes, from one matrix product."""
+        rows = self._rows[nodes]
+        products = rows @ rows.T
+        if self.metric is Metric.DOT_PRODUCT:
+            with np.errstate(over="ignore"):
+                return -products.astype(np.float32)
+        norms = self._norms[nodes]
+        if self.metric is Metric.EUCLIDEAN:
+            squares = norms * norms
+            return np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * products, 0.0)).astype(np.float32)
+        scale = norms[:, None] * norms[None, :]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(scale == 0, 1.0, 1.0 - np.clip(products / scale, -1.0, 1.0)).astype(np.float32)
+
     def diverse(self, ranked: list[tuple[float, int]], limit: int) -> list[int]:
         """Of nodes by distance, those nearer to the point than to any chosen before; passed-over ones fill what is left."""
         nodes = [n for _, n in ranked]
         if len(nodes) <= 1:
             return nodes[:limit]
+        table = self.mutual(nodes)
         chosen: list[int] = []
         spare: list[int] = []
         nearest = np.full(len(nodes), np.inf, np.float32)
@@ -106,7 +122,7 @@ class Graph:
                 break
             if nearest[i] >= d:
                 chosen.append(n)
-                nearest = np.minimum(nearest, self.distances(self._rows[n], nodes))
+                np.minimum(nearest, table[i], out=nearest)
             else:
                 spare.append(n)
         return chosen + spare[: limit - len(chosen)]
