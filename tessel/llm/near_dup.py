@@ -105,17 +105,24 @@ def confirmed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return near.where(percent * F.greatest(F.size("set_a"), F.size("set_b")) <= 100 * F.least(F.size("set_a"), F.size("set_b"))).where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
 
 
-def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, block: int = BLOCK) -> DataFrame:
+def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, block: int = BLOCK, tie: int = 0) -> DataFrame:
     """(node, component) from bucket members (key, doc_id), their sets (doc_id, set) and known links (a, b).
 
-    Stars first. The candidates, confirmed or not, tie documents into clusters; a cluster that the confirmed ones leave in
+    With ``tie``, candidates less similar than that (in percent) tie nothing: where bucket keys are loose, as those of lines, chains of
+    chance meetings would else grow into one cluster.
+
+    Stars first. The candidates of buckets of three and more, confirmed or not, tie documents into clusters; a cluster that the confirmed ones leave in
     several components is settled exactly: each member outside its largest component (a guest) is compared with all members
     of other components. Members are dealt into blocks and a guest meets a block as one row, so no pair is ever a row unless it is a link.
     """
-    star = members.groupBy("key").agg(F.min("doc_id").alias("a"))
-    pairs = cut(members.join(star, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
-    linked = cut(confirmed(pairs, sets, percent).union(known))
-    both = linked.select(F.lit(0).alias("g"), "a", "b").union(pairs.select(F.lit(1).alias("g"), "a", "b"))
+    star = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m"))
+    # A bucket of two is settled by its one candidate; only larger ones can hide a link, and tie their members into a cluster.
+    pairs = members.join(star, "key").where("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg((F.max("m") > 2).alias("tie"))
+    pairs = cut(pairs)
+    linked = cut(confirmed(pairs.select("a", "b"), sets, percent).union(known))
+    ties = pairs.where("tie").select("a", "b")
+    ties = confirmed(ties, sets, tie) if tie else ties
+    both = linked.select(F.lit(0).alias("g"), "a", "b").union(ties.select(F.lit(1).alias("g"), "a", "b"))
     both = cut(graph_components(both))
     parts = both.where("g = 0").drop("g")
     clusters = both.where("g = 1").select("node", F.col("component").alias("cluster"))
