@@ -1,7 +1,7 @@
 """Fuzzy duplicate lines by MinHash, with DataFrame and SQL functions only.
 
-A line's character shingles are the WIDTH characters from the start of each word on (from each character, in scripts that are
-written without spaces), lower-cased; one regular expression yields them all, and one 64-bit hash each is all that is computed
+A line's character shingles are the WIDTH characters from each position on (fewer at its end), lower-cased, so every character
+counts; one regular expression yields them all, and one 64-bit hash each is all that is computed
 of the text. These are hashed again with 2 * BANDS seeds, and the least value under each seed makes the signature. Bands of two are bucket keys. Lines that are equal are one node from the start; buckets
 yield stars, candidates are confirmed by exact Jaccard similarity on the full shingle sets, and connected components leave the
 first line of each. At a similarity of 0.75 two lines share no bucket with a probability of 3 in 10,000.
@@ -20,18 +20,13 @@ WIDTH, BANDS = 12, 10
 #: Candidates of this similarity (percent) tie lines into the clusters that are settled exactly.
 TIE = 50
 WORDY = r"[^\x20\x09-\x0D]"
-#: Scripts without spaces: Thai and Lao, Khmer, kana, Han, Hangul.
-SPACELESS = "[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"
-#: A shingle starts where a word does, and in scripts without spaces at any character. Lines without these take the plainer
-#: expression, which is several times as fast and finds the same.
-START = r"(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D].{0,%d}))" % (WIDTH - 1)
-ANY_START = r"(?=((?:(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]|%s).{0,%d}))" % (SPACELESS, WIDTH - 1)
+#: A shingle starts at every character.
+START = r"(?s)(?=(.{1,%d}))" % WIDTH
 
 
 def shingles(line: Column) -> Column:
     """The character shingles of a line in lower case, repeats included."""
-    found = lambda start: F.regexp_extract_all(line, F.lit("(?s)" + start), F.lit(1))
-    return F.when(line.rlike(SPACELESS), found(ANY_START)).otherwise(found(START))
+    return F.regexp_extract_all(line, F.lit(START), F.lit(1))
 
 
 def shingle_hashes(line: Column) -> Column:
