@@ -2,9 +2,11 @@
 
 A line's character shingles are the WIDTH characters from each position on (fewer at its end), lower-cased, so every character
 counts; one regular expression yields them all, and one 64-bit hash each is all that is computed
-of the text. These are hashed again with 2 * BANDS seeds, and the least value under each seed makes the signature. Bands of two are bucket keys. Lines that are equal are one node from the start; buckets
-yield stars, candidates are confirmed by exact Jaccard similarity on the full shingle sets, and connected components leave the
-first line of each. At a similarity of 0.75 two lines share no bucket with a probability of 3 in 10,000.
+of the text. These are hashed again with seeds (both halves of a hash count), and the least value under each makes the
+signature. Bands of ROWS are bucket keys. Lines that are equal are one node from the start; buckets yield stars, candidates
+are confirmed by exact Jaccard similarity on the full shingle sets, and what the stars of a bucket of three or more leave
+apart is compared exactly within the bucket. Connected components leave the first line of each. At a similarity of 0.75 two
+lines share no bucket with a probability of 3 in 10,000.
 """
 
 from __future__ import annotations
@@ -16,9 +18,7 @@ from tessel.llm.components import components  # noqa: F401  (the union-find that
 from tessel.llm.near_dup import link
 from tessel.llm.shared import cut, id_and_text, release
 
-WIDTH, BANDS = 12, 10
-#: Candidates of this similarity (percent) tie lines into the clusters that are settled exactly.
-TIE = 50
+WIDTH, BANDS, ROWS = 12, 15, 3
 WORDY = r"[^\x20\x09-\x0D]"
 #: A shingle starts at every character.
 START = r"(?s)(?=(.{1,%d}))" % WIDTH
@@ -50,8 +50,10 @@ def duplicate_lines(docs: DataFrame, *, percent: int = 75, bands: int = BANDS) -
     placed = cut(lines.select("doc_id", "line_no", "id"))
     # One row for each shingle, hashed and reduced in generated code before anything is shuffled.
     single = lines.select("id", F.explode(shingles(F.col("low"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
-    least = single.groupBy("id").agg(*(F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(2 * bands)))
-    keys = F.array(*(F.xxhash64(F.lit(i), f"m{2 * i}", f"m{2 * i + 1}") for i in range(bands)))
+    seeded = single.select("id", *(F.xxhash64("h", F.lit(i)).alias(f"x{i}") for i in range((ROWS * bands + 1) // 2)))
+    half = lambda i: F.shiftleft(f"x{i // 2}", 32) if i % 2 else F.col(f"x{i // 2}")
+    least = seeded.groupBy("id").agg(*(F.min(half(i)).alias(f"m{i}") for i in range(ROWS * bands)))
+    keys = F.array(*(F.xxhash64(F.lit(i), *(f"m{ROWS * i + r}" for r in range(ROWS))) for i in range(bands)))
     banded = cut(least.select(F.col("id").alias("doc_id"), F.explode(keys).alias("key")))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
     members = cut(banded.join(shared, "key"))
@@ -60,7 +62,7 @@ def duplicate_lines(docs: DataFrame, *, percent: int = 75, bands: int = BANDS) -
     texts = lines.select("id", "low").join(asked, "id", "left_semi").groupBy("id").agg(F.any_value("low").alias("low"))
     sets = cut(texts.select(F.col("id").alias("doc_id"), F.array_distinct(shingle_hashes(F.col("low"))).alias("set")))
     known = placed.sparkSession.createDataFrame([], "a long, b long")
-    parts = cut(link(members, sets, percent, known, tie=TIE).withColumnRenamed("node", "id"))
+    parts = cut(link(members, sets, percent, known, by_bucket=True).withColumnRenamed("node", "id"))
     release(members, sets)
     placed = placed.join(parts, "id", "left").select("doc_id", "line_no", F.coalesce("component", "id").alias("component"))
     first = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first")).where("n > 1")

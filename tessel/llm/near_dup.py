@@ -105,11 +105,11 @@ def confirmed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return near.where(percent * F.greatest(F.size("set_a"), F.size("set_b")) <= 100 * F.least(F.size("set_a"), F.size("set_b"))).where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
 
 
-def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, block: int = BLOCK, tie: int = 0) -> DataFrame:
+def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, block: int = BLOCK, by_bucket: bool = False) -> DataFrame:
     """(node, component) from bucket members (key, doc_id), their sets (doc_id, set) and known links (a, b).
 
-    With ``tie``, candidates less similar than that (in percent) tie nothing: where bucket keys are loose, as those of lines, chains of
-    chance meetings would else grow into one cluster.
+    With ``by_bucket``, every bucket of three and more is a cluster of its own: where bucket keys are loose, as those of lines, chains
+    of chance meetings would else grow into one cluster. Buckets of the same members are settled once.
 
     Stars first. The candidates of buckets of three and more, confirmed or not, tie documents into clusters; a cluster that the confirmed ones leave in
     several components is settled exactly: each member outside its largest component (a guest) is compared with all members
@@ -120,12 +120,16 @@ def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, bl
     pairs = members.join(star, "key").where("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg((F.max("m") > 2).alias("tie"))
     pairs = cut(pairs)
     linked = cut(confirmed(pairs.select("a", "b"), sets, percent).union(known))
-    ties = pairs.where("tie").select("a", "b")
-    ties = confirmed(ties, sets, tie) if tie else ties
-    both = linked.select(F.lit(0).alias("g"), "a", "b").union(ties.select(F.lit(1).alias("g"), "a", "b"))
-    both = cut(graph_components(both))
+    if by_bucket:
+        both = cut(graph_components(linked.select(F.lit(0).alias("g"), "a", "b")))
+        alike = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *(F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"d{i}") for i in (1, 2))).where("m > 2")
+        clusters = members.join(alike.groupBy("m", "d1", "d2").agg(F.min("key").alias("key")).select("key"), "key").select(F.col("doc_id").alias("node"), F.col("key").alias("cluster"))
+    else:
+        ties = pairs.where("tie").select("a", "b")
+        both = linked.select(F.lit(0).alias("g"), "a", "b").union(ties.select(F.lit(1).alias("g"), "a", "b"))
+        both = cut(graph_components(both))
+        clusters = both.where("g = 1").select("node", F.col("component").alias("cluster"))
     parts = both.where("g = 0").drop("g")
-    clusters = both.where("g = 1").select("node", F.col("component").alias("cluster"))
     rows = clusters.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.ceil(F.sum("n") / F.lit(block)).alias("blocks"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")

@@ -38,3 +38,19 @@ def test_every_character_of_a_line_counts(spark, corpus):
     want, got = plain(rows), removed(spark, rows)
     assert got == {i: want[i] for i, _ in rows}
     assert [i for i, _ in rows if i >= 1000 and got[i]] == [1005, 1008]
+
+
+def test_pairs_behind_foreign_hubs_are_found(spark):
+    """All lines open with one passage, so buckets are led by lines that are similar to neither of a pair."""
+    draw = random.Random(11)
+    some = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head = some(88)
+    lines = [head + some(32) for _ in range(1500)]
+    for x in lines[:300]:
+        lines.append(x[:100] + "#" + x[101:104] + "#" + x[105:])
+    assert 0.75 <= len(shingles(lines[0]) & shingles(lines[1500])) / len(shingles(lines[0]) | shingles(lines[1500])) < 0.8
+    assert len(shingles(lines[0]) & shingles(lines[1])) / len(shingles(lines[0]) | shingles(lines[1])) < 0.5
+    got = removed(spark, list(enumerate(lines)))
+    found = {i for i in got if got[i]}
+    # A pair of this similarity shares no bucket with a probability of 1 or 2 in 10,000; all that share one are found.
+    assert found <= set(range(1500, 1800)) and len(found) >= 299
