@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ from tessel.operators.exact import ranked
 from tessel.operators.hnsw import M, M_BOTTOM, MAX_LEVEL, Graph
 
 SHARD_ROWS = 25_000
+#: Queries in a block of search_table().
+QUERY_BLOCK = 1000
 NODES = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("node", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("links", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
 
@@ -90,6 +93,20 @@ def search(nodes: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k:
     return ranked(marked.groupBy("shard").applyInPandas(look, schema), k, metric)
 
 
+def search_table(nodes: DataFrame, queries: DataFrame, k: int, ef: int, metric: Metric, dim: int, deleted: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """search() for a table of queries (qid, query), read in blocks; each block is one pass over the nodes, which are kept on disk for that."""
+    nodes, out, part = nodes.persist(StorageLevel.DISK_ONLY), None, []
+    for qid, query in queries.select("qid", "query").toLocalIterator():
+        part.append((qid, query))
+        if len(part) == block:
+            hits = search(nodes, part, k, ef, metric, dim, deleted)
+            out, part = hits if out is None else out.unionByName(hits), []
+    if part or out is None:
+        hits = search(nodes, part, k, ef, metric, dim, deleted)
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def links_of(nodes: DataFrame) -> DataFrame:
     """(shard, node, layer, neighbor), a row for each edge."""
     return nodes.select("shard", "node", F.posexplode("links").alias("layer", "neighbors")).select("shard", "node", "layer", F.explode("neighbors").alias("neighbor"))

@@ -311,19 +311,27 @@ def _collection_query(spark, sf_dir):
 SHARDS = 8
 
 
-def _search(spark, sf_dir, metric, *, ef, scale=True):
+def asked_of(rows, few=False):
+    """(qid, query): the rows with an id divisible by 20, or the first ten."""
+    return rows.where("id < 10" if few else "id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("query"))
+
+
+def _search(spark, sf_dir, metric, *, ef, scale=True, few=False):
     rows = embeddings(spark, sf_dir)
     rows = scaled(rows) if scale else rows
-    nodes = index.build(rows, metric, 64, SHARDS)
-    asked = [(r["id"], r["vector"]) for r in rows.where("id < 10").collect()]
-    return rows, index.search(nodes, asked, 10, ef, metric, 64), asked
+    asked = asked_of(rows, few)
+    return rows, index.search_table(index.build(rows, metric, 64, SHARDS), asked, 10, ef, metric, 64), asked
 
 
 for _m in Metric:
     def _full(spark, sf_dir, m=_m):
+        return _ordered(_search(spark, sf_dir, m, ef=1_000_000, few=True)[1])
+
+    def _full_all(spark, sf_dir, m=_m):
         return _ordered(_search(spark, sf_dir, m, ef=1_000_000)[1])
 
     _register(f"hnsw_full_beam_{_m.value}", _full, _sql_knn(_m, 10, table=_scaled_t, queries=f"SELECT vec_id AS qid, {_SCALED} AS q FROM embeddings WHERE vec_id < 10"))
+    _register(f"hnsw_full_beam_all_{_m.value}", _full_all, _sql_knn(_m, 10, table=_scaled_t, queries=f"SELECT vec_id AS qid, {_SCALED} AS q FROM embeddings WHERE vec_id % 20 = 0"))
 
 
 @_query("hnsw_default_beam", None)
@@ -334,16 +342,24 @@ def _default_beam(spark, sf_dir):
 @_query("hnsw_recall_ok", "SELECT TRUE AS ok")
 def _recall_ok(spark, sf_dir):
     rows, hits, asked = _search(spark, sf_dir, Metric.COSINE, ef=64, scale=False)
-    truth = exact.knn_join_arrow(spark.createDataFrame(asked, "qid bigint, query array<float>"), rows, 10, Metric.COSINE)
+    truth = exact.knn_join_arrow(asked, rows, 10, Metric.COSINE)
     return evaluate.recall(hits, truth).select((F.col("recall") >= 0.95).alias("ok"))
 
 
-@_query("hnsw_incremental_full_beam", _sql_knn(Metric.EUCLIDEAN, 10, table=f"{_scaled_t} WHERE vec_id % 11 <> 0", queries=f"SELECT vec_id AS qid, {_SCALED} AS q FROM embeddings WHERE vec_id < 10"))
-def _incremental(spark, sf_dir):
+def _grown(spark, sf_dir, few):
     rows = scaled(embeddings(spark, sf_dir))
     nodes = index.extend(index.build(rows.where("id % 4 <> 0"), Metric.EUCLIDEAN, 64, SHARDS), rows, Metric.EUCLIDEAN, 64, SHARDS)
-    asked = [(r["id"], r["vector"]) for r in rows.where("id < 10").collect()]
-    return _ordered(index.search(nodes, asked, 10, 1_000_000, Metric.EUCLIDEAN, 64, rows.where("id % 11 = 0")))
+    return _ordered(index.search_table(nodes, asked_of(rows, few), 10, 1_000_000, Metric.EUCLIDEAN, 64, rows.where("id % 11 = 0")))
+
+
+@_query("hnsw_incremental_full_beam", _sql_knn(Metric.EUCLIDEAN, 10, table=f"{_scaled_t} WHERE vec_id % 11 <> 0", queries=f"SELECT vec_id AS qid, {_SCALED} AS q FROM embeddings WHERE vec_id < 10"))
+def _incremental(spark, sf_dir):
+    return _grown(spark, sf_dir, True)
+
+
+@_query("hnsw_incremental_full_beam_all", _sql_knn(Metric.EUCLIDEAN, 10, table=f"{_scaled_t} WHERE vec_id % 11 <> 0", queries=f"SELECT vec_id AS qid, {_SCALED} AS q FROM embeddings WHERE vec_id % 20 = 0"))
+def _incremental_all(spark, sf_dir):
+    return _grown(spark, sf_dir, False)
 
 
 @_query("index_integrity_violations", "SELECT * FROM (VALUES ('unique_ids', CAST(0 AS BIGINT)), ('level_range', 0), ('layers', 0), ('degree', 0), ('target_exists', 0), ('target_level', 0), ('self_loop', 0), ('repeated_edge', 0)) AS t(rule, n)")
