@@ -12,7 +12,9 @@ The scan is one narrow pass; the automata are of fixed size, as they are trained
 
 from __future__ import annotations
 
+import bisect
 import math
+import os
 import random
 import re
 import string
@@ -32,7 +34,10 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
-CANDIDATE = re.compile(rb"[A-Za-z0-9_+/=.-]{20,}")
+#: Characters of a run; a part of one may start behind a BREAK, or where an automaton knows the characters, and end before a STOP.
+RUN, BREAK, STOP = rb"[A-Za-z0-9_+/=.-]", re.compile(rb"[_+/=.-]"), re.compile(rb"[/=.]")
+#: Characters that a known beginning has at least, and how many times as long as the longest label a part can be.
+HEAD, LONGEST = 3, 4
 PER_FORMAT, ALPHA = 80, 0.05
 _ALNUM, _URL = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_"
 
@@ -147,8 +152,41 @@ def likelihood(machine, text: bytes) -> float:
     return (total + machine[state][0]) / (len(text) + 1)
 
 
-def trained(labelled: dict[str, list[str]]) -> dict[str, tuple[list, float, int]]:
-    """By format: automaton, the least likelihood to accept, and the least length. Each is trained on the first half and calibrated
+def parts(machine, value: bytes, starts: list[int], stops: list[int], least: float, size: int, longest: int) -> list[tuple[float, int, int]]:
+    """(likelihood above the least, start, end) of the parts to accept, the best end for each start; ends are stops.
+
+    A part goes over no stop that the automaton doesn't know where it stands; the whole run may, at the cost of UNSEEN.
+    """
+    out = []
+    for start in starts:
+        if value[start] not in machine[0][1] and start:
+            continue
+        best, state, total, at, strange = None, 0, 0.0, start, False
+        for stop in stops[bisect.bisect_left(stops, start + 1) :]:
+            whole = start == 0 and stop == stops[-1]
+            if start and (strange or stop - start > longest):
+                break
+            for c in value[at:stop]:
+                step = machine[state][1].get(c)
+                if step is None:
+                    total += UNSEEN
+                    strange = strange or c in b"/=."
+                else:
+                    total += step[0]
+                    state = step[1]
+            at = stop
+            if stop - start < size or strange and not whole:
+                continue
+            over = (total + machine[state][0]) / (stop - start + 1) - least
+            if over >= 0 and (best is None or over > best[0]):
+                best = (over, start, stop)
+        if best:
+            out.append(best)
+    return out
+
+
+def trained(labelled: dict[str, list[str]]) -> dict[str, tuple[list, float, int, int, bytes]]:
+    """By format: automaton, the least likelihood to accept, the least and greatest length, and what it begins with. Each is trained on the first half and calibrated
     on the second."""
     out = {}
     for kind, values in sorted(labelled.items()):
@@ -156,7 +194,7 @@ def trained(labelled: dict[str, list[str]]) -> dict[str, tuple[list, float, int]
         half = max(1, len(values) // 2)
         machine = infer(values[:half])
         scores = sorted(likelihood(machine, v.encode()) for v in values[half:] or values)
-        out[kind] = (machine, scores[len(scores) // 20] - 0.5, min(map(len, values)) * 3 // 4)
+        out[kind] = (machine, scores[len(scores) // 20] - 0.5, min(map(len, values)) * 3 // 4, max(map(len, values)) * LONGEST, os.path.commonprefix(values).encode())
     return out
 
 
@@ -169,19 +207,26 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
 
 
 def scan(text: bytes, machines: dict, names: list[str]) -> list[tuple[int, int, int]]:
-    """Base spans and those that the automata add; an added span lies in no base span."""
+    """Base spans and those that the automata add; an added span starts in no base span, and of those that overlap the likeliest stays."""
     found = base_spans(text)
     taken = list(found)
-    for m in CANDIDATE.finditer(text):
+    shortest = max(1, min((size for _, _, size, _, _ in machines.values()), default=1))
+    for m in re.finditer(RUN + b"{%d,}" % shortest, text):
         value = m[0].strip(b".=-")
-        if not any(48 <= c <= 57 for c in value):
-            continue
-        start = m.start() + m[0].index(value)
-        if any(s <= start < e for s, _, e in taken):
+        if len(value) < shortest:
             continue
-        best = max(((likelihood(machine, value) - least, kind) for kind, (machine, least, size) in machines.items() if len(value) >= size), default=(-1.0, ""))
-        if best[0] >= 0:
-            found.append((start, names.index(best[1]), start + len(value)))
+        origin = m.start() + m[0].index(value)
+        broken = [0, *(x.end() for x in BREAK.finditer(value) if x.end() < len(value))]
+        stops = [*(x.start() for x in STOP.finditer(value)), len(value)]
+        likely = []
+        for kind, (machine, least, size, longest, head) in machines.items():
+            known = [x.start() for x in re.finditer(b"(?=" + re.escape(head) + b")", value)] if len(head) >= HEAD else []
+            likely += [(over, kind, origin + i, origin + j) for over, i, j in parts(machine, value, sorted({*broken, *known}), stops, least, size, longest)]
+        added = []
+        for _, kind, i, j in sorted(likely, reverse=True):
+            if not any(s <= i < e for s, _, e in taken) and not any(i < e and s < j for s, _, e in added):
+                added.append((i, names.index(kind), j))
+        found += added
     return sorted(found)
 
 
