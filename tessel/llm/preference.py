@@ -85,17 +85,42 @@ def preferences(conversations: DataFrame) -> DataFrame:
 
     One row for each even conv_id: pair_id, n_common, prompt, chosen, chosen_mask, rejected, rejected_mask.
     """
+    return format_preferences(_pairs(conversations).where("chosen IS NOT NULL").select("pair_id", "chosen", _swapped().alias("rejected")))
+
+
+def every_preference(conversations: DataFrame) -> DataFrame:
+    """The same for every conversation as chosen, odd ones too, the other of its pair being the partner: one row for each conv_id,
+    with conv_id before the columns of preferences()."""
+    pairs = _pairs(conversations)
+    turned = pairs.select("pair_id", F.col("other").alias("chosen"), F.col("chosen").alias("other"))
+    own = lambda x, odd: x.withColumn("conv_id", F.col("pair_id") * 2 + odd)
+    both = own(pairs, 0).unionByName(own(turned, 1)).where("chosen IS NOT NULL")
+    return format_preferences(both.select("conv_id", "pair_id", "chosen", _swapped().alias("rejected")))
+
+
+def _pairs(conversations: DataFrame) -> DataFrame:
+    """(pair_id, chosen, other): the turns of the even and of the odd conversation, either null if absent."""
     pair = F.floor(F.col("conv_id") / F.lit(2)).cast("long")
     even = F.pmod("conv_id", F.lit(2)) == 0
-    both = turns_of(conversations).groupBy(pair.alias("pair_id")).agg(F.max(F.when(even, F.col("turns"))).alias("chosen"), F.max(F.when(~even, F.col("turns"))).alias("other"))
+    return turns_of(conversations).groupBy(pair.alias("pair_id")).agg(F.max(F.when(even, F.col("turns"))).alias("chosen"), F.max(F.when(~even, F.col("turns"))).alias("other"))
+
+
+def _swapped() -> Column:
+    """chosen with the last turn of other in place of its own."""
     start = F.slice("chosen", F.lit(1), F.greatest(F.size("chosen") - 1, F.lit(0)))
-    swapped = F.when(F.col("other").isNull(), start).otherwise(F.concat(start, F.slice("other", F.size("other"), F.lit(1))))
-    return format_preferences(both.where("chosen IS NOT NULL").select("pair_id", "chosen", swapped.alias("rejected")))
+    return F.when(F.col("other").isNull(), start).otherwise(F.concat(start, F.slice("other", F.size("other"), F.lit(1))))
 
 
 def preference_report(conversations: DataFrame) -> DataFrame:
     """The same with digests in place of the texts, and masks as start:end."""
-    made = preferences(conversations)
+    return _report(preferences(conversations), "pair_id")
+
+
+def every_preference_report(conversations: DataFrame) -> DataFrame:
+    return _report(every_preference(conversations), "conv_id", "pair_id")
+
+
+def _report(made: DataFrame, *keys: str) -> DataFrame:
     mask = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     texts = {f"{x}_sha256": F.sha2(F.col(x), 256) for x in ("prompt", "chosen", "rejected")}
-    return made.select("pair_id", "n_common", *(v.alias(k) for k, v in texts.items()), mask("chosen_mask").alias("chosen_mask"), mask("rejected_mask").alias("rejected_mask"))
+    return made.select(*keys, "n_common", *(v.alias(k) for k, v in texts.items()), mask("chosen_mask").alias("chosen_mask"), mask("rejected_mask").alias("rejected_mask"))

@@ -10,7 +10,7 @@ from tessel.llm.mixing import mix
 from tessel.llm.near_dup import near_duplicates
 from tessel.llm.phrase_dedup import remove_repeats
 from tessel.llm.pii import pii_report
-from tessel.llm.preference import preference_report
+from tessel.llm.preference import every_preference_report, preference_report
 from tessel.llm.repetition import repetition
 from tessel.llm.secrets import secret_report
 from tessel.llm.shared import table
@@ -45,6 +45,10 @@ def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_report(table(spark, sf_dir, "conversations"))
 
 
+def op7_preference_format_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return every_preference_report(table(spark, sf_dir, "conversations"))
+
+
 def op8_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("offending")
 
@@ -57,4 +61,4 @@ def op10_inferred_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_weighted_fair_mix, op3_fuzzy_lines, op4_repeated_phrases, op5_pii_spans, op6_near_duplicates, op7_preference_format, op8_noisy_or_toxicity, op9_decontaminate, op10_inferred_formats)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_weighted_fair_mix, op3_fuzzy_lines, op4_repeated_phrases, op5_pii_spans, op6_near_duplicates, op7_preference_format, op7_preference_format_all, op8_noisy_or_toxicity, op9_decontaminate, op10_inferred_formats)}
