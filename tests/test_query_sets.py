@@ -34,3 +34,8 @@ def test_blocks_of_queries(spark, sf_dir):
     one, three = (hits(index.search_table(nodes, asked_of(rows), 10, 64, Metric.COSINE, 64, block=n)) for n in (1000, 3))
     assert one == three and len(one) == 70
     assert hits(index.search_table(nodes, asked_of(rows).limit(0), 10, 64, Metric.COSINE, 64)) == []
+
+
+def test_pairwise_metrics_of_the_stated_rows_with_all(spark, sf_dir):
+    got = [(r["a"], r["b"]) for r in QUERIES["pairwise_metrics_all"](spark, sf_dir).select("a", "b").collect()]
+    assert sorted(got) == [(a, b) for a in range(0, 130, 20) for b in range(130)]
