@@ -46,6 +46,7 @@ def graph_components(edges: DataFrame) -> DataFrame:
         last, mark = mark, _mark(now)
         if mark == last:
             break
+    # The last table is what the result reads; it goes with the application.
     roots = now.select("g", F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select("g", F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 

@@ -1,12 +1,21 @@
 """Fuzzy duplicate lines by MinHash, with DataFrame and SQL functions only.
 
 A line's character shingles are the WIDTH characters from each position on (fewer at its end), lower-cased, so every character
-counts; one regular expression yields them all, and one 64-bit hash each is all that is computed
-of the text. These are hashed again with seeds (both halves of a hash count), and the least value under each makes the
-signature. Bands of ROWS are bucket keys. Lines that are equal are one node from the start; buckets yield stars, candidates
-are confirmed by exact Jaccard similarity on the full shingle sets, and what the stars of a bucket of three or more leave
-apart is compared exactly within the bucket. Connected components leave the first line of each. At a similarity of 0.75 two
-lines share no bucket with a probability of 3 in 10,000.
+counts. Similarity is the Jaccard similarity of two lines' sets of shingles.
+
+1. Signatures are computed where the text is read, without a shuffle. A line's shingles are hashed once each, by one permutation of
+   the 64-bit numbers, and sorted; of BANDS points at equal distances on the ring of these numbers, the ROWS hashes that follow a
+   point are its band, and a hash of them is a bucket key. A band of two lines agrees if the ROWS least hashes from the point on, of
+   all that either has, are in both; so it does with the probability of similarity to the power of ROWS, as with as many
+   permutations. Lines of few shingles share hashes between their bands, which fills empty bins.
+2. For keys, the shingles are thinned to those that start a word, as long as a line has enough of them; of other lines (short
+   ones, long words, scripts without spaces) all shingles count. Lines with FEW to MANY distinct ones get both kinds of keys, so that
+   similar lines share a kind.
+3. Equal lines become one row with the place of the first. Buckets yield stars, and candidates are confirmed by exact Jaccard similarity on the
+   full sets, of all positions. What the stars of a bucket of three or more leave apart is compared exactly within the bucket.
+4. Connected components (distributed union-find) keep the first line of each.
+
+At a similarity of 0.75 two lines share no bucket with a probability of about 2 in 100 (10 bands of 4), at 0.85 of 1 in 1,600.
 """
 
 from __future__ import annotations
@@ -18,73 +27,140 @@ from tessel.llm.components import components  # noqa: F401  (the union-find that
 from tessel.llm.near_dup import link
 from tessel.llm.shared import cut, id_and_text, release
 
-WIDTH, BANDS, ROWS = 12, 15, 3
-WORDY = r"[^\x20\x09-\x0D]"
-#: A shingle starts at every character.
-START = r"(?s)(?=(.{1,%d}))" % WIDTH
+WIDTH, BANDS, ROWS = 12, 10, 4
+#: With FEW distinct shingles that start words or more, these make keys; with fewer than MANY, all shingles do.
+FEW, MANY = 12, 20
+BLANK = " \t\n\x0b\x0c\r"
 
 
-def shingles(line: Column) -> Column:
-    """The character shingles of a line in lower case, repeats included."""
-    return F.regexp_extract_all(line, F.lit(START), F.lit(1))
+def word_starts(width: int) -> str:
+    """An expression whose group is the shingle at the start of each word, in a line with a blank put before it."""
+    return r"(?s)[\x20\x09-\x0D](?=([^\x20\x09-\x0D].{0,%d}))" % (width - 1)
 
 
-def shingle_hashes(line: Column) -> Column:
-    return F.transform(shingles(line), lambda x: F.xxhash64(x))
+def wordy(line: Column) -> Column:
+    return F.length(F.ltrim(line, F.lit(BLANK))) > 0
+
+
+def bound(x: Column, then) -> Column:
+    """then(x), with x evaluated once, even where then() names it in a lambda."""
+    return F.transform(F.array(x), then)[0]
+
+
+def every_shingle(line: Column, width: int) -> Column:
+    """Hashes of the distinct shingles at all positions. Four bytes stand for a character, so a place is found by multiplication."""
+    each = lambda b: F.transform(F.sequence(F.lit(0), F.shiftright(F.length(b), 2) - 1), lambda i: F.xxhash64(F.substr(b, 4 * i + 1, F.lit(4 * width))))
+    return F.array_distinct(bound(F.encode(line, "UTF-32"), each))
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a value under a name. As an element of an array that is exploded it is computed once, however often later columns name it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_keys(lines: DataFrame, hashes: str, name: str, kind: int, bands: int, rows: int) -> DataFrame:
+    """lines with a key for each band under a name, none where hashes (distinct) are empty; kind tells keys of different shingles apart.
+
+    Each step is a column of its own, and not a lambda, so that it runs in generated code over plain arrays of longs.
+    """
+    at = [-(1 << 63) + (b << 64) // bands for b in range(bands)]
+    points = F.array(*map(F.lit, at))
+    own, both, ring = (f"_{name}_{x}" for x in ("own", "both", "ring"))
+    again = F.slice(F.flatten(F.array_repeat(F.slice(own, 1, rows), rows)), 1, rows)
+    lines = once(lines, own, F.sort_array(F.array_except(hashes, points)))
+    lines = once(once(lines, both, F.sort_array(F.concat(own, points))), ring, F.concat(F.col(own), again))
+    # A point's place among hashes and points, less the points before it, is the place of the first hash that follows.
+    key = lambda b: F.xxhash64(F.lit(kind * bands + b), F.slice(ring, (F.array_position(both, F.lit(at[b])) - b).cast("int"), F.lit(rows)))
+    return lines.withColumn(name, F.when(F.size(own) > 0, F.array(*map(key, range(bands)))).otherwise(F.array().cast("array<bigint>"))).drop(own, both, ring)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of the lines that hold a word; lines end at \\n and count from 0."""
+    """(doc_id, text_id, line_no, line) of the lines that hold a word; lines end at \\n and count from 0. text_id is a hash of the whole text."""
     known = id_and_text(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return known.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(WORDY))
+    return known.select("doc_id", F.xxhash64("text").alias("text_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(wordy(F.col("line")))
 
 
-def duplicate_lines(docs: DataFrame, *, percent: int = 75, bands: int = BANDS) -> DataFrame:
-    """(doc_id, line_no) of every line to remove: all but the first (by doc_id, line_no) of each component of similar lines.
+def signed_lines(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
+    """(id, first, keys): distinct lines, the place (doc_id, line_no, text_id) of the first, and bucket keys."""
+    lines = lines_of(docs).select(F.struct("doc_id", "line_no", "text_id").alias("place"), F.xxhash64("line").alias("id"), F.lower("line").alias("low"))
+    none = F.array().cast("array<bigint>")
+    found = F.regexp_extract_all(F.concat(F.lit(" "), F.col("low")), F.lit(word_starts(width)), F.lit(1))
+    keyed = once(lines, "starts", F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
+    keyed = once(keyed, "every", F.when(F.size("starts") < MANY, every_shingle(F.col("low"), width)).otherwise(none)).drop("low")
+    keyed = once(keyed, "enough", F.when(F.size("starts") >= FEW, F.col("starts")).otherwise(none)).drop("starts")
+    keyed = with_keys(with_keys(keyed, "enough", "thin", 0, bands, rows), "every", "whole", 1, bands, rows)
+    keyed = keyed.select("id", "place", F.concat("thin", "whole").alias("keys"))
+    return keyed.groupBy("id").agg(F.min("place").alias("first"), F.any_value("keys").alias("keys"))
 
-    Lines are equal if their 64-bit hashes are, and linked when 100 * |A & B| >= percent * |A | B| on their shingle sets. Lines without a word
-    are never removed, nor those of rows with a null doc_id. Rows that share a doc_id stand at the same place: equal lines at
-    the same place are kept or removed together.
-    """
-    lines = lines_of(docs).withColumns({"id": F.xxhash64("line"), "low": F.lower("line")})
-    placed = cut(lines.select("doc_id", "line_no", "id"))
-    # One row for each shingle, hashed and reduced in generated code before anything is shuffled.
-    single = lines.select("id", F.explode(shingles(F.col("low"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
-    seeded = single.select("id", *(F.xxhash64("h", F.lit(i)).alias(f"x{i}") for i in range((ROWS * bands + 1) // 2)))
-    half = lambda i: F.shiftleft(f"x{i // 2}", 32) if i % 2 else F.col(f"x{i // 2}")
-    least = seeded.groupBy("id").agg(*(F.min(half(i)).alias(f"m{i}") for i in range(ROWS * bands)))
-    keys = F.array(*(F.xxhash64(F.lit(i), *(f"m{ROWS * i + r}" for r in range(ROWS))) for i in range(bands)))
-    banded = cut(least.select(F.col("id").alias("doc_id"), F.explode(keys).alias("key")))
+
+def similar_lines(signed: DataFrame, docs: DataFrame, *, percent: int = 75, width: int = WIDTH) -> DataFrame:
+    """(id, component) of the lines (see signed_lines) that are linked with another one."""
+    banded = signed.select(F.col("id").alias("doc_id"), F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
     members = cut(banded.join(shared, "key"))
-    release(banded)
-    asked = members.select(F.col("doc_id").alias("id")).distinct()
-    texts = lines.select("id", "low").join(asked, "id", "left_semi").groupBy("id").agg(F.any_value("low").alias("low"))
-    sets = cut(texts.select(F.col("id").alias("doc_id"), F.array_distinct(shingle_hashes(F.col("low"))).alias("set")))
-    known = placed.sparkSession.createDataFrame([], "a long, b long")
-    parts = cut(link(members, sets, percent, known, by_bucket=True).withColumnRenamed("node", "id"))
+    # The texts of these lines are read from the place of the first, which no other line shares: no key of this join is hot.
+    asked = signed.select("id", "first").join(members.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    places = ["doc_id", "line_no", "text_id"]
+    texts = lines_of(docs).withColumn("low", F.lower("line")).select(*places, "low").join(asked.select(F.col("id").alias("own"), "first.*").hint("shuffle_hash"), places).dropDuplicates(["own"])
+    sets = cut(texts.select(F.col("own").alias("doc_id"), every_shingle(F.col("low"), width).alias("set")).select("doc_id", F.size("set").alias("n"), "set"))
+    known = docs.sparkSession.createDataFrame([], "a long, b long")
+    parts = link(members, sets, percent, known, by_bucket=True)
     release(members, sets)
-    placed = placed.join(parts, "id", "left").select("doc_id", "line_no", F.coalesce("component", "id").alias("component"))
-    first = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first")).where("n > 1")
-    first = first.select("component", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"))
-    return placed.join(first, "component").where("doc_id <> d OR line_no <> l").select("doc_id", "line_no")
+    return parts.withColumnRenamed("node", "id")
+
 
+def kept_lines(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, text_id, kept): the numbers of the lines that stay, of documents that keep any: of each component of similar lines the
+    first by (doc_id, line number, text_id)."""
+    like = {k: options.pop(k) for k in ("percent",) if k in options}
+    signed = cut(signed_lines(docs, **options))
+    parts = similar_lines(signed, docs, **like, **{k: v for k, v in options.items() if k == "width"})
+    placed = signed.select("id", "first").join(parts, "id", "left")
+    alone = placed.where("component IS NULL").select("first")
+    led = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("first")).select("first")
+    out = cut(alone.union(led).select("first.*").groupBy("doc_id", "text_id").agg(F.collect_list("line_no").alias("kept")))
+    release(signed, parts)
+    return out
 
-def removed_by_document(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, removed): the line numbers to remove, ascending; only documents that lose a line."""
-    return duplicate_lines(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+
+def _numbers(parts: Column) -> Column:
+    """The numbers of the lines that hold a word."""
+    return F.filter(F.transform(parts, lambda x, i: F.when(wordy(x), i)), lambda i: i.isNotNull())
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
-    """One row for each row of docs: doc_id, n_lines (with a word), n_removed, removed_lines. Null and empty texts have none."""
-    counted = id_and_text(docs).select("doc_id", F.coalesce(F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORDY))), F.lit(0)).cast("long").alias("n_lines"))
-    both = cut(counted).join(removed_by_document(docs, **options), "doc_id", "left")
-    return both.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
-
-
-def without_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with the duplicate lines taken out of their texts; no row is dropped, and the other columns stay as they are."""
-    gone = removed_by_document(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), **options).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    both = docs.join(gone, F.col(key) == F.col("_doc"), "left")
-    return both.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    """One row for each row of docs: doc_id, n_lines (with a word), n_removed, removed_lines (their numbers, ascending).
+
+    Lines are equal if their 64-bit hashes are, and linked when 100 * |A & B| >= percent * |A | B| on their shingle sets. Of each component all but the
+    first line (by doc_id, line number and hash of the text) are removed. Lines without a word are never removed, nor those of rows with a null
+    doc_id; null and empty texts have none. Rows that repeat doc_id and text are judged alike; of different texts under one doc_id the one with the lesser hash is
+    the first. A text or line may be of any length: positions are dealt out in runs. An empty table gives an empty one, and other columns of docs, whatever
+    their names, are not read.
+    """
+    none = F.array().cast("array<int>")
+    numbers = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("text_id"), F.coalesce(_numbers(F.split("text", "\n", -1)), none).alias("numbers"))
+    both = numbers.join(kept_lines(docs, **options), ["doc_id", "text_id"], "left")
+    removed = F.when(F.col("doc_id").isNull(), none).otherwise(F.array_except("numbers", F.coalesce("kept", none)))
+    return both.select("doc_id", F.size("numbers").cast("long").alias("n_lines"), removed.alias("removed_lines")).select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
+
+
+def without_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, drop_emptied: bool = False, **options) -> DataFrame:
+    """docs with the duplicate lines (see line_dedup) taken out of their texts; the other columns stay as they are.
+
+    With drop_emptied, rows go whose text held a word and lost every line that does: all of it stands in other documents. No other row is dropped.
+    """
+    none = F.array().cast("array<int>")
+    kept = kept_lines(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), **options).select(F.col("doc_id").alias("_tessel_doc"), F.col("text_id").alias("_tessel_text"), F.col("kept").alias("_tessel_kept"))
+    both = docs.join(kept, (F.col(key).cast("long") == F.col("_tessel_doc")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_tessel_text")), "left")
+    parts = F.split(text, "\n", -1)
+    numbers = _numbers(parts)
+    gone = F.array_except(numbers, F.coalesce("_tessel_kept", none))
+
+    def left(parts: Column) -> Column:
+        staying = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.array_except(_numbers(parts), F.coalesce("_tessel_kept", none)))
+        return F.array_join(F.transform(staying, lambda i: F.element_at(parts, i + 1)), "\n")
+
+    judged = F.col(key).isNotNull() & (F.size(numbers) > 0)
+    if drop_emptied:
+        both = both.where(~F.coalesce(judged & F.col("_tessel_kept").isNull(), F.lit(False)))
+    return both.withColumn(text, F.when(F.coalesce(judged & (F.size(gone) > 0), F.lit(False)), bound(parts, left)).otherwise(F.col(text))).select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tessel.llm.shared import cut
+from tessel.llm.shared import cut, named, release
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -49,35 +49,42 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
     """docs (without text unless keep_text) with size, source_size, target and taken (words the mix takes of it, repeats counted); a row for each row of docs.
 
     Sources by code point (null last) weigh ``weights`` in turn and share all words; no document is taken more than ``rounds``
-    times. Null and empty texts have size 0 and are taken 0 times. Repeated rows queue one behind the other. An empty
-    table gives an empty one. docs mustn't hold the four names, nor ``_k``, ``_range``, ``_cum``.
+    times. Null and empty texts have size 0 and are taken 0 times; a text of any length is counted whole. Documents whose keys are equal, repeated rows and null keys
+    among them, queue one behind the other by size. An empty table gives an empty one. A column of docs that has one of the four names is returned
+    as ``<name>_of_document``; all others keep theirs.
     """
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    shuffled = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
-    sized = docs.withColumns({"size": size, "_k": shuffled})
-    return _queued(cut(sized if keep_text else sized.drop(text)), source, weights, rounds)
-
-
-def _queued(queued: DataFrame, source: str, weights: tuple[int, ...], rounds: int) -> DataFrame:
+    new = ("size", "source_size", "target", "taken")
+    size = F.coalesce(F.regexp_count(named(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    shuffled = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(named(key).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
+    kept = [c for c in docs.columns if keep_text or c != text]
+    queued = cut(docs.select(F.struct(*map(named, kept)).alias("_doc"), named(source).alias("_s"), size.alias("_size"), shuffled.alias("_k")))
+    out = _queued(queued, weights, rounds)
+    back = [F.col("_doc")[c].alias(f"{c}_of_document" if c in new else c) for c in kept]
+    return out.select(*back, *(F.col(f"_{c}").alias(c) for c in new))
+
+
+def _queued(queued: DataFrame, weights: tuple[int, ...], rounds: int) -> DataFrame:
+    """queued (_doc, _s, _size, _k) with _source_size, _target and _taken."""
     n = max(1, math.isqrt(queued.count()))
     ranged = queued.withColumn("_range", F.floor(F.col("_k") * (n / float(1 << 48))))
-    sums = cut(ranged.groupBy(F.col(source).alias("source"), "_range").agg(F.sum("size").alias("n")))
+    sums = cut(ranged.groupBy(F.col("_s").alias("source"), "_range").agg(F.sum("_size").alias("n")))
     goals = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, rounds)
     before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.withColumn("_before", before).join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "n")
-    starts = starts.select(F.col("source").alias("_source"), F.col("_range").alias("_r"), "_before", "source_size", "target")
-    within = F.sum("size").over(W.partitionBy(source, "_range").orderBy("_k", "size").rowsBetween(W.unboundedPreceding, 0))
-    items = ranged.withColumn("_cum", within).join(starts, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
-    items = cut(items.withColumn("_cum", F.col("_cum") + F.col("_before")).drop("_source", "_r", "_range", "_before", "_k"))
-    finish = [(F.lit(r) * F.col("source_size") + F.col("_cum")) / F.col("target") for r in range(rounds)]
-    end = _end(items.where("size > 0").select("size", F.explode(F.array(*finish)).alias("finish")), items, n)
+    starts = sums.withColumn("_before", before).join(goals.withColumnRenamed("source", "_g"), F.col("source").eqNullSafe(F.col("_g"))).drop("_g", "n")
+    starts = starts.select(F.col("source").alias("_source"), F.col("_range").alias("_r"), "_before", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    within = F.sum("_size").over(W.partitionBy("_s", "_range").orderBy("_k", "_size").rowsBetween(W.unboundedPreceding, 0))
+    items = ranged.withColumn("_cum", within).join(starts, F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
+    items = cut(items.select("_doc", "_size", (F.col("_cum") + F.col("_before")).alias("_cum"), "_source_size", "_target"))
+    release(queued, sums)
+    finish = [(F.lit(r) * F.col("_source_size") + F.col("_cum")) / F.col("_target") for r in range(rounds)]
+    end = _end(items.where("_size > 0").select(F.col("_size").alias("size"), F.explode(F.array(*finish)).alias("finish")), items, n)
     taken = sum((F.when(f < F.lit(end), 1).otherwise(0) for f in finish[1:]), F.when(finish[0] < F.lit(end), 1).otherwise(0))
-    return items.withColumn("taken", F.when(F.col("size") > 0, F.col("size") * taken).otherwise(F.lit(0)).cast("long")).drop("_cum")
+    return items.withColumn("_taken", F.when(F.col("_size") > 0, F.col("_size") * taken).otherwise(F.lit(0)).cast("long"))
 
 
 def _end(times: DataFrame, items: DataFrame, n: int) -> float:
     """The least finish time at which the merged queues exceed all words; documents that finish before it are taken."""
-    budget = items.agg(F.sum("size")).first()[0] or 0
+    budget = items.agg(F.sum("_size")).first()[0] or 0
     times = times.withColumn("slice", F.floor(F.least(F.col("finish"), F.lit(LAST_SLICE)) * n))
     slices = times.groupBy("slice").agg(F.sum("size").alias("n"))
     run = F.sum("n").over(W.orderBy("slice"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessel.llm.components import components, graph_components
-from tessel.llm.shared import append, cut, id_and_text, release
+from tessel.llm.shared import append, cut, id_and_text, release, with_first
 from tessel.llm.text import LOWER, Grams, U, doc_of, hashed, inside, mix, pair, per_doc, raw, split, starts_of
 
 BINS, ROWS = 128, 4
@@ -96,17 +96,25 @@ def signatures(docs: DataFrame, size: int, bins: int, rows: int) -> DataFrame:
     return append(docs, sign, [T.StructField("n_shingles", LONG), T.StructField("set_a", LONG), T.StructField("set_b", LONG), T.StructField("bands", T.ArrayType(LONG))]).drop("text")
 
 
+#: Into so many parts a hub's candidates are dealt, so that no task has to meet all of them.
+SPREAD = 256
+
+
 def confirmed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The candidates (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    near = candidates.join(left, "a").join(right, "b")
-    return near.where(percent * F.greatest(F.size("set_a"), F.size("set_b")) <= 100 * F.least(F.size("set_a"), F.size("set_b"))).where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
+    """The candidates (a, b) whose full sets are similar enough.
+
+    Sizes (n) come first: pairs whose sizes alone rule the similarity out never meet a set. A hub's set goes once to each part of its candidates.
+    """
+    size = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"))
+    sized = candidates.join(size("b"), "b").join(size("a"), "a").where(percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b"))
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SPREAD)))
+    hubs = dealt.select("a", "part").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
+    both = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").join(hubs, ["a", "part"])
+    return both.where((100 + percent) * F.size(F.array_intersect("set_a", "set_b")) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
 
 
 def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, block: int = BLOCK, by_bucket: bool = False) -> DataFrame:
-    """(node, component) from bucket members (key, doc_id), their sets (doc_id, set) and known links (a, b).
+    """(node, component) from bucket members (key, doc_id), their sets (doc_id, n, set) with sizes, and known links (a, b).
 
     With ``by_bucket``, every bucket of three and more is a cluster of its own: where bucket keys are loose, as those of lines, chains
     of chance meetings would else grow into one cluster. Buckets of the same members are settled once.
@@ -133,7 +141,7 @@ def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, bl
     rows = clusters.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.ceil(F.sum("n") / F.lit(block)).alias("blocks"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    rows = cut(rows.join(mixed, "cluster").join(sets.withColumnRenamed("doc_id", "node"), "node"))
+    rows = cut(rows.join(mixed, "cluster").join(sets.select(F.col("doc_id").alias("node"), "set"), "node"))
     dealt = rows.withColumn("turn", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.groupBy("cluster", "turn").agg(F.collect_list(F.struct("node", "component", "set")).alias("block"))
     guests = rows.where("component <> home").select("cluster", F.col("node").alias("a"), F.col("component").alias("own"), F.col("set").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("turn"))
@@ -163,8 +171,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, bins:
     signed = cut(signatures(texts, size, bins, rows))
     live = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["n_shingles", "set_a", "set_b"]
-    copied = live.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    classed = cut(live.join(copied, key, "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "bands"))
+    copied = with_first(live, key).select(*key, "doc_id", "first").distinct()
+    classed = cut(live.join(copied, [*key, "doc_id"], "left").select("doc_id", F.coalesce("first", "doc_id").alias("rep"), "bands"))
     banded = classed.where("doc_id = rep").select("doc_id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
     members = cut(banded.join(shared, "key"))
@@ -174,12 +182,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, bins:
         return [pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(keys.view(np.int64)))]
 
     asked = members.select("doc_id").distinct()
-    sets = cut(append(texts.join(asked, "doc_id", "left_semi"), full, [T.StructField("set", T.ArrayType(LONG))]).drop("text"))
+    sets = cut(append(texts.join(asked, "doc_id", "left_semi"), full, [T.StructField("set", T.ArrayType(LONG))]).select("doc_id", F.size("set").alias("n"), "set"))
     # A doc_id with several texts joins their classes.
     twice = classed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     parts = link(members, sets, percent, twice.join(classed, "doc_id").select("a", F.col("rep").alias("b")).distinct())
     named = classed.select("doc_id", "rep").distinct().join(parts.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     named = cut(named)
-    release(members, sets, classed)
+    release(members, sets, classed, parts)
     out = signed.select("doc_id", "n_shingles").join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

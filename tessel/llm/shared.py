@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows in an Arrow batch. Texts can be long, so batches stay far below Spark's default of 10,000 rows.
 ARROW_ROWS = 1000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK, _HELD = threading.Lock(), {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,22 +26,47 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Within, the shuffle files of a query go with its end. The setting belongs to the session, so it is counted in and out: queries that overlap
+    in one session leave it on until the last of them ends, which costs nothing but files that are kept or dropped sooner."""
+    with _LOCK:
+        state = _HELD.setdefault(id(spark), [0, None])
+        if not state[0]:
+            state[1] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        state[0] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.unset(CLEANUP) if state[1] is None else spark.conf.set(CLEANUP, state[1])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: its lineage ends there, and a lost executor costs nothing that was
     written. The shuffle files behind it have served, and go at once rather than when the driver happens to collect garbage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessel/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    try:
-        spark.conf.set(CLEANUP, "true")
+    path = _place(spark)
+    with _cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._written = path
     return table
 
 
+def _place(spark: SparkSession) -> str:
+    """A new path in the shared folder, which goes when the application ends at the latest: a result that is still to be read may read such tables."""
+    path = f"{shared_dir(spark)}/tessel/{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at.getParent())
+    fs.deleteOnExit(at)
+    return path
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote, once nothing unfinished reads them."""
     for table in tables:
@@ -59,6 +87,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own(docs: DataFrame) -> list[Column]:
+    """The columns of a table, whatever characters their names hold."""
+    return [named(c) for c in docs.columns]
+
+
+def named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def with_first(rows: DataFrame, key: list[str], parts: int = 256) -> DataFrame:
+    """(*key, doc_id, first) of rows (*key, doc_id) whose key is met under several doc_ids; first is the least of these.
+
+    A key that a third of all rows share is dealt into parts: rows meet their key's part, and only parts meet the key.
+    """
+    dealt = rows.select(*key, "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("_part"))
+    part = dealt.groupBy(*key, "_part").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
+    several = part.groupBy(*key).agg(F.min("x").alias("first"), F.max("y").alias("last")).where("first <> last").select(*key, "first")
+    return dealt.join(part.select(*key, "_part").join(several, key), [*key, "_part"]).drop("_part")
+
+
 def id_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that most operators read, under fixed names; any other column is pruned at the scan."""
     return docs.select(F.col(key).cast(T.LongType()).alias("doc_id"), F.col(text).cast(T.StringType()).alias("text"))

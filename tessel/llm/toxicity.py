@@ -147,8 +147,11 @@ def telling(labelled: DataFrame, *, least: int = 5, z: float = 2.0) -> np.ndarra
     return (few + many >= least) & (np.abs(many / n1 - few / n0) >= z * np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)))
 
 
-def apply(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score, predicted and offending: start, end, ... (code points) of the sentences with a probability of half or more."""
+def apply(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
+    """docs with score, predicted and offending: start, end, ... (code points) of the sentences with a probability of half or more.
+
+    The new columns' names begin with a prefix, for tables that have columns of these names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def judge(block: pa.RecordBatch) -> list[pa.Array]:
@@ -167,7 +170,7 @@ def apply(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 at += size + 1
         return [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.int32()))]
 
-    return append(docs, judge, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("offending", T.ArrayType(T.IntegerType()))], text)
+    return append(docs, judge, [T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}predicted", T.IntegerType()), T.StructField(f"{prefix}offending", T.ArrayType(T.IntegerType()))], text)
 
 
 _MARK = bytes(0x0A if b in BREAKS else b for b in range(256))

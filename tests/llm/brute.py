@@ -122,11 +122,15 @@ def secrets(text):
     return [f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found)]
 
 
+def line_shingles(line, width=12):
+    """The shingles that start at every position of a line, fewer characters at its end."""
+    return {line.lower()[i : i + width] for i in range(len(line.lower()))}
+
+
 def lines(rows, percent=75):
-    anchor = re.compile(r"(?=((?<![^\x20\x09-\x0D])[^\x20\x09-\x0D].{0,11}))", re.S)
     found = [(i, n, x) for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]) for n, x in enumerate(t.split("\n")) if WORD.search(x)]
     ids = {x: k for k, x in enumerate(dict.fromkeys(x for _, _, x in found))}
-    part = components({k: set(anchor.findall(x.lower())) for x, k in ids.items()}, percent)
+    part = components({k: line_shingles(x) for x, k in ids.items()}, percent)
     seen, gone = set(), defaultdict(list)
     for i, n, x in found:
         if part[ids[x]] in seen:
