@@ -1,11 +1,13 @@
-"""Repeated passages: fingerprints confirm what recurs, Aho-Corasick automata locate it, and all but the first occurrence go.
+"""Repeated passages: recurring phrases are confirmed, sharded Aho-Corasick automata locate them, and all but the first occurrence go.
 
 1. Every window of 20 words has a fingerprint, the least hash of the 7-word phrases in it. Equal windows have equal
-   fingerprints, so a window can recur in another text only if its fingerprint does. Counting
-   fingerprints (about one in eight positions) confirms the recurring phrases.
-2. The recurring phrases of a block of documents are compiled into one automaton (pyahocorasick), a shard whose size is bounded
-   by its block; the block's documents stream through it, and every occurrence of every phrase is located. Words enter the automaton
-   as three symbols of a small alphabet, so its nodes stay narrow. Windows around the located phrases are the candidates.
+   fingerprints, so a window can recur in another text only if its fingerprint does. Counting fingerprints (about one in eight
+   positions) confirms the recurring phrases; a phrase belongs to the first document that has it.
+2. Phrases are dealt by that document into shards of about SHARD phrases, so that those of one passage, and of one document with its near copies,
+   share a shard. Each shard is compiled into one automaton (pyahocorasick), and every document with a recurring fingerprint streams through the
+   automata of all shards that have one of its fingerprints (the others have no phrase of a window of it). A shard that very many documents visit is compiled for several
+   parts of them. Words enter an automaton as three symbols of a small alphabet, so its nodes stay narrow; a phrase that it reports is verified by
+   the whole hashes of its words. No other step knows where a phrase stands in a document: the windows around the reported places are the only candidates.
 3. Candidates meet by a 96-bit hash of their 20 words; the least doc_id is the first. All windows elsewhere are removed, and in
    the last pass later repeats within a document too.
 
@@ -23,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.shared import append, cut, id_and_text, release, tune
+from tessel.llm.shared import append, cut, id_and_text, release, tune, with_first
 from tessel.llm.text import Grams, U, blocks, covered, doc_of, hashed, inside, mix, pair, per_doc, raw, sliding, split, starts_of
 
 PHRASE = 7
+#: Phrases in a shard, on average, and fingerprints (one for eight words) of the documents that visit one copy of it.
+SHARD, VISIT = 20_000, 1_000_000
 LONG = T.LongType()
 
 
@@ -86,60 +90,141 @@ def _spelt(words: np.ndarray) -> str:
     return out.tobytes().decode("latin-1")
 
 
-def locate(words: np.ndarray, ends: np.ndarray, hashes: np.ndarray, asked: np.ndarray, window: int, phrase: int) -> np.ndarray:
-    """Starts of the windows that hold an occurrence of one of the phrases with the hashes ``asked``."""
+def locate(machine, words: np.ndarray, ends: np.ndarray, hashes: np.ndarray, prints: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """Starts of the windows whose fingerprint is a phrase that the automaton reports in them."""
+    spelt = _spelt(words)
+    at: list[int] = []
+    value: list[int] = []
+    for start, stop in zip(starts_of(ends).tolist(), ends.tolist(), strict=True):
+        if stop - start >= window:
+            for end, h in machine.iter(spelt[3 * start : 3 * stop]):
+                at.append(start + (end + 1) // 3 - phrase)
+                value.append(h)
+    if not at:
+        return np.zeros(0, np.int64)
+    where, told = np.array(at, np.int64), np.array(value, np.int64).view(U)
+    sure = hashes[where] == told
+    where, told = where[sure], np.unique(told[sure])
+    near = covered(np.maximum(where - (window - phrase), 0), window - phrase + 1, len(words))
+    starts = np.flatnonzero(near[: len(prints)] & inside(ends, window, len(words)))
+    return starts[np.isin(prints[starts], told)]
+
+
+def compiled(phrases: list[tuple[str, int]]):
     import ahocorasick
 
-    _, first = np.unique(hashes, return_index=True)
-    first = first[np.isin(hashes[first], asked) & inside(ends, phrase, len(words))[first]] if len(asked) else first[:0]
-    if not len(first):
-        return first
-    spelt, machine = _spelt(words), ahocorasick.Automaton()
-    for at in first.tolist():
-        machine.add_word(spelt[3 * at : 3 * (at + phrase)], 1)
+    machine = ahocorasick.Automaton()
+    for spelt, h in phrases:
+        machine.add_word(spelt, h)
     machine.make_automaton()
-    found: list[int] = []
-    for start, stop in zip(starts_of(ends).tolist(), ends.tolist(), strict=True):
-        if stop - start >= window:
-            found += [start + (end + 1) // 3 - phrase for end, _ in machine.iter(spelt[3 * start : 3 * stop])]
-    near = covered(np.maximum(np.array(found, np.int64) - (window - phrase), 0), window - phrase + 1, len(words)) if found else np.zeros(len(words), bool)
-    return np.flatnonzero(near[: max(0, len(words) - window + 1)] & inside(ends, window, len(words)))
+    return machine
+
 
+STREAM = T.StructType([T.StructField("shard", LONG), T.StructField("part", LONG), T.StructField("kind", T.IntegerType()), T.StructField("doc_id", LONG), T.StructField("text", T.StringType()), T.StructField("h", LONG), T.StructField("spelt", T.BinaryType())])
 
-def candidates(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(a, b, doc_id, at) for the first place in each document of every candidate window; docs have asked, their recurring phrases."""
+
+def dealt(docs: DataFrame, window: int, phrase: int) -> DataFrame:
+    """STREAM rows: of kind 0 the phrases that belong to a document, spelt, for every part of their shards, and of kind 1 the document for each shard it visits.
+
+    docs have own (h, shard, parts) and visits (shard, parts).
+    """
     tune(docs.sparkSession)
 
-    def run(batches):
+    def deal(batches):
         for block in blocks(batches):
             words, ends = _words(block)
-            asked = np.unique(block.column("asked").flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(U)
-            hashes, prints, _ = chosen(words, ends, window, phrase)
-            at = locate(words, ends, hashes, asked, window, phrase)
-            at = at[np.isin(prints[at], asked)] if len(at) else at
-            grams, owner = Grams(words), doc_of(ends)
-            a = grams.at(window, at)
-            order = np.lexsort((at, a, owner[at]))
-            at, a = at[order], a[order]
-            first = np.ones(len(at), bool)
-            first[1:] = (a[1:] != a[:-1]) | (owner[at][1:] != owner[at][:-1])
-            at, a = at[first], a[first]
-            b = np.zeros(len(at), U)
-            for i in range(window):
-                b = (b ^ mix(words[at + i] + U(i))) * U(0x9E3779B97F4A7C15)
-            own = owner[at]
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((b >> U(32)).astype(np.uint32).view(np.int32)), block.column("doc_id").take(pa.array(own)), pa.array((at - starts_of(ends)[own]).astype(np.int32))], names=["a", "b", "doc_id", "at"])
-
-    return docs.mapInArrow(run, T.StructType([T.StructField("a", LONG), T.StructField("b", T.IntegerType()), T.StructField("doc_id", LONG), T.StructField("at", T.IntegerType())]))
-
-
-def marks(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(doc_id, part): the windows of each document that also start in a document of a smaller id."""
+            hashes, ids, starts = Grams(words)(phrase), block.column("doc_id").to_numpy(), starts_of(ends)
+            rows: list[tuple] = []
+            for i, (own, start, stop) in enumerate(zip(block.column("own").to_pylist(), starts.tolist(), ends.tolist(), strict=True)):
+                if not own:
+                    continue
+                # The phrases were chosen in this very text, so each is found in it.
+                here = hashes[start : max(start, stop - phrase + 1)]
+                asked = np.array([x["h"] for x in own], np.int64).view(U)
+                order = np.argsort(here, kind="stable")
+                place = order[np.minimum(np.searchsorted(here[order], asked), len(order) - 1)] if len(order) else np.zeros(0, np.int64)
+                for x, h, p in zip(own, asked, place.tolist(), strict=False):
+                    if here[p] == h:
+                        spelt = _spelt(words[start + p : start + p + phrase]).encode("latin-1")
+                        rows += [(x["shard"], part, x["h"], spelt) for part in range(x["parts"])]
+            if rows:
+                n = len(rows)
+                shard, part, h, spelt = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(part, pa.int64()), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(h, pa.int64()), pa.array(spelt, pa.binary())], names=STREAM.fieldNames())
+            go = [(i, v["shard"], int(mix(ids[i : i + 1].astype(np.int64).view(U))[0] % U(v["parts"]))) for i, visits in enumerate(block.column("visits").to_pylist()) for v in visits or ()]
+            for k in range(0, len(go), 64):
+                row, shard, part = zip(*go[k : k + 64], strict=True)
+                some = block.take(pa.array(row, pa.int64()))
+                n = len(row)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(part, pa.int64()), pa.array(np.ones(n, np.int32)), some.column("doc_id"), some.column("text"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=STREAM.fieldNames())
+
+    return docs.select("doc_id", "text", "own", "visits").mapInArrow(deal, STREAM)
+
+
+def candidates(stream: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(a, b, doc_id, at) for the first place in each document of every candidate window; a partition of stream has each of its shards' phrases before the documents."""
+    tune(stream.sparkSession)
+
+    def windows_of(machine, block):
+        words, ends = _words(block)
+        hashes, prints, _ = chosen(words, ends, window, phrase)
+        at = locate(machine, words, ends, hashes, prints, window, phrase)
+        owner = doc_of(ends)
+        a = Grams(words).at(window, at)
+        order = np.lexsort((at, a, owner[at]))
+        at, a = at[order], a[order]
+        first = np.ones(len(at), bool)
+        first[1:] = (a[1:] != a[:-1]) | (owner[at][1:] != owner[at][:-1])
+        at, a = at[first], a[first]
+        b = np.zeros(len(at), U)
+        for i in range(window):
+            b = (b ^ mix(words[at + i] + U(i))) * U(0x9E3779B97F4A7C15)
+        own = owner[at]
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((b >> U(32)).astype(np.uint32).view(np.int32)), block.column("doc_id").take(pa.array(own)), pa.array((at - starts_of(ends)[own]).astype(np.int32))], names=["a", "b", "doc_id", "at"])
+
+    def run(batches):
+        now, phrases, machine = None, [], None
+        for batch in batches:
+            shard, part, kind = (batch.column(c).to_numpy() for c in ("shard", "part", "kind"))
+            edges = np.flatnonzero((shard[1:] != shard[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                if start == stop:
+                    continue
+                if now != (shard[start], part[start]):
+                    now, phrases, machine = (shard[start], part[start]), [], None
+                rows = batch.slice(start, stop - start)
+                if kind[start] == 0:
+                    phrases += [(x.decode("latin-1"), h) for x, h in zip(rows.column("spelt").to_pylist(), rows.column("h").to_pylist(), strict=True)]
+                elif phrases:
+                    machine = machine or compiled(phrases)
+                    for block in blocks([rows]):
+                        yield windows_of(machine, block)
+
+    return stream.mapInArrow(run, T.StructType([T.StructField("a", LONG), T.StructField("b", T.IntegerType()), T.StructField("doc_id", LONG), T.StructField("at", T.IntegerType())]))
+
+
+def streamed(docs: DataFrame, window: int, phrase: int, shard: int, visit: int) -> DataFrame:
+    """The candidates of all documents: what recurs is confirmed and dealt into shards, and documents visit the shards of their fingerprints."""
     prints = cut(fingerprints(docs, window, phrase))
-    recurring = prints.groupBy("h").agg(F.min("text_a").alias("x"), F.max("text_a").alias("y")).where("x <> y").select("h")
-    asked = prints.select("h", "doc_id").join(recurring, "h").groupBy("doc_id").agg(F.collect_set("h").alias("asked"))
-    found = cut(candidates(docs.join(asked, "doc_id"), window, phrase))
+    recurring = cut(prints.groupBy("h").agg(F.min("text_a").alias("x"), F.max("text_a").alias("y"), F.min("doc_id").alias("owner")).where("x <> y").select("h", "owner"))
+    shards = max(1, -(-recurring.count() // shard))
+    placed = recurring.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("long"))
+    sizes = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    visits = cut(prints.select("h", "doc_id").join(placed.select("h", "shard"), "h").select("doc_id", "shard").distinct().join(sizes, "doc_id"))
     release(prints)
+    loads = visits.groupBy("shard").agg(F.ceil(F.sum("n") / F.lit(visit)).cast("long").alias("parts"))
+    going = visits.join(loads, "shard").groupBy("doc_id").agg(F.collect_list(F.struct("shard", "parts")).alias("visits"))
+    owned = placed.join(loads, "shard").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("h", "shard", "parts")).alias("own"))
+    n = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    stream = dealt(docs.join(going.join(owned, "doc_id", "left"), "doc_id"), window, phrase).repartition(n, "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    found = cut(candidates(stream, window, phrase))
+    release(recurring, visits)
+    return found
+
+
+def marks(docs: DataFrame, window: int, phrase: int, shard: int, visit: int) -> DataFrame:
+    """(doc_id, part): the windows of each document that also start in a document of a smaller id."""
+    found = streamed(docs, window, phrase, shard, visit)
     first = found.groupBy("a", "b").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("a", "b", "x")
     out = cut(found.join(first, ["a", "b"]).where("doc_id > x").groupBy("doc_id").agg(F.collect_set("at").alias("part")))
     release(found)
@@ -155,25 +240,28 @@ def copies(docs: DataFrame) -> DataFrame:
 
     key = ["text_a", "text_b"]
     signed = cut(append(docs, sign, [*(T.StructField(x, LONG) for x in key), T.StructField("n", LONG)]).drop("text").where("n > 0"))
-    first = signed.groupBy(*key).agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select(*key, "x")
-    return signed.join(first, key).where("doc_id > x").select("doc_id", *key)
+    out = cut(with_first(signed, key).where("doc_id > first").select("doc_id", *key))
+    release(signed)
+    return out
 
 
 RESULT = [T.StructField("n_words", LONG), T.StructField("n_removed", LONG), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 20, phrase: int = PHRASE) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 20, phrase: int = PHRASE, shard: int = SHARD, visit: int = VISIT) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256 and kept_text (the kept words, joined by one space).
 
     A word goes if a window of ``window`` words that covers it also starts earlier: in a smaller doc_id, or before in the same
-    document. Windows are judged on the input. Null and empty texts have no words. Rows that share a doc_id stand at the same
-    place, so none of them is earlier than another; rows with a null doc_id are compared with themselves only.
+    document. Windows are judged on the input. Null and empty texts have no words; texts of any length are read whole. Rows that share a doc_id stand at the same
+    place, so none of them is earlier than another; rows with a null doc_id are compared with themselves only. An empty table gives an empty
+    one, and other columns of docs, whatever their names, are not read.
     """
     texts = id_and_text(docs)
     known = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    whole = copies(known).groupBy("doc_id").agg(F.collect_set("text_a").alias("whole"))
-    part = marks(known, window, phrase)
-    both = cut(whole.join(part, "doc_id", "full"))
+    same = copies(known)
+    part = marks(known, window, phrase, shard, visit)
+    both = cut(same.groupBy("doc_id").agg(F.collect_set("text_a").alias("whole")).join(part, "doc_id", "full"))
+    release(same, part)
 
     def erase(block: pa.RecordBatch) -> list[pa.Array]:
         offsets, data = raw(block.column("text"))
