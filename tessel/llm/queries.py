@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessel.llm.decontaminate import decontaminate
 from tessel.llm.line_dedup import line_dedup
@@ -50,7 +51,8 @@ def op7_preference_format_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("offending")
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("offending", F.array_join(F.transform("offending", lambda x: x.cast("string")), ","))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

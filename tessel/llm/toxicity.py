@@ -2,7 +2,7 @@
 
 A sentence's probability is logistic in its words and their beginnings; a document is toxic unless none of its sentences is (noisy-or):
 P = 1 - prod(1 - p). Both weights and the sentences' scores follow from document labels alone, by gradient ascent on the likelihood.
-Training takes a bounded sample of labelled rows (SAMPLE, by hash of the id; whole texts); scoring is one narrow pass over all
+Training takes a sample of labelled documents that is bounded in rows and in bytes of text (SAMPLE, SAMPLE_BYTES, by hash of the id; whole texts); scoring is one narrow pass over all
 documents with a weight table of fixed size (2^BITS floats) broadcast.
 """
 
@@ -22,6 +22,8 @@ from tessel.llm.text import LOWER, U, blocks, hashed, prefixes, raw, split, star
 
 #: Labelled documents that training takes at most.
 SAMPLE = 20_000
+#: Bytes of text that they hold at most: what the driver gets of them is a few numbers for a word.
+SAMPLE_BYTES = 32 << 20
 BITS = 18
 PREFIXES = (5, 6, 7, 8)
 FOLDS = 5
@@ -59,31 +61,37 @@ def evidence(logits: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.logaddexp(0.0, logits), starts_of(ends)) if len(ends) else np.zeros(0)
 
 
-def fit(features: np.ndarray, owner: np.ndarray, some: np.ndarray, docs: np.ndarray, labels: np.ndarray, *, rounds: int = 120, rate: float = 0.15, decay: float = 5e-5, least: int = 5) -> Model:
-    """Adam on the noisy-or likelihood; features of fewer than ``least`` documents carry no weight."""
+def slope(w: np.ndarray, b: float, own: np.ndarray, at: np.ndarray, some: np.ndarray, doc: np.ndarray, y: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """Loss (the mean negative log-likelihood of the documents' labels, and decay) and its gradient by weights and bias.
+
+    own and at are a feature and its sentence, some tells which sentences have words, doc is the document of each sentence.
+    """
+    n = len(y)
+    z = np.clip(np.bincount(at, weights=w[own], minlength=len(some)) + b, -60, 60)
+    a = np.maximum(np.bincount(doc, weights=np.log1p(np.exp(z)) * some, minlength=n), 1e-9)
+    loss = float(((1 - y) * a - y * np.log(-np.expm1(-a))).mean() + decay * (w @ w) / 2)
+    g = (some / (1 + np.exp(-z))) * ((1 - y) - y / np.expm1(np.minimum(a, 500)))[doc] / n
+    return loss, np.append(np.bincount(own, weights=g[at], minlength=len(w)) + decay * w, g.sum())
+
+
+def fit(features: np.ndarray, owner: np.ndarray, some: np.ndarray, docs: np.ndarray, labels: np.ndarray, use: np.ndarray, *, rounds: int = 120, rate: float = 0.15, decay: float = 5e-5) -> Model:
+    """Adam on the noisy-or likelihood; features that ``use`` doesn't mark carry no weight."""
     weights = np.zeros(1 << BITS, np.float32)
     if not len(labels) or not some.any():
         return Model(weights, -20.0)
-    doc = np.repeat(np.arange(len(docs)), docs - starts_of(docs))
-    once = np.unique(doc[owner].astype(np.int64) * (1 << BITS) + features) % (1 << BITS)
-    use = np.flatnonzero(np.bincount(once, minlength=1 << BITS) >= least)
-    place = np.full(1 << BITS, -1)
-    place[use] = np.arange(len(use))
+    doc, chosen = np.repeat(np.arange(len(docs)), docs - starts_of(docs)), np.flatnonzero(use)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
     own = place[features]
-    own, at = own[own >= 0].astype(np.int32), owner[own >= 0].astype(np.int32)
-    w, b = np.zeros(len(use)), -5.0
-    m, v, y, n = np.zeros(len(use) + 1), np.zeros(len(use) + 1), labels.astype(float), len(labels)
+    own, at = own[own >= 0], owner[own >= 0].astype(np.int32)
+    w, b = np.zeros(len(chosen)), -5.0
+    m, v, y = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), labels.astype(float)
     for t in range(1, rounds + 1):
-        z = np.clip(np.bincount(at, weights=w[own], minlength=len(some)) + b, -60, 60)
-        p = some / (1 + np.exp(-z))
-        a = np.maximum(np.bincount(doc, weights=np.log1p(np.exp(z)) * some, minlength=n), 1e-9)
-        slope = (1 - y) - y / np.expm1(np.minimum(a, 500))
-        g = p * slope[doc] / n
-        grad = np.append(np.bincount(own, weights=g[at], minlength=len(use)) + decay * w, g.sum())
+        _, grad = slope(w, b, own, at, some, doc, y, decay)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    weights[use] = w
+    weights[chosen] = w
     return Model(weights, float(b))
 
 
@@ -91,20 +99,29 @@ def fold_of(key: str = "doc_id"):
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(FOLDS))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learn from labelled documents outside the held-out fold (crc32 of the id as text, mod 5, is 0). Null labels are left out;
-    of several labels of a document the greatest counts."""
+    of several labels of a document the greatest counts, and of several texts of a document all. Documents come in order of a hash of the id, then of the id, until ``sample``
+    of them or ``sample_bytes`` of text are taken; one that alone is larger is passed over."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().where(fold_of() != 0)
     chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     # The sample's ids are at most ``sample`` rows, whatever the size of the tables.
-    texts = id_and_text(docs).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    kept = docs.sparkSession.sparkContext.broadcast(telling(texts))
+    known = id_and_text(docs).where("text IS NOT NULL")
+    sizes = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.sum(F.octet_length("text") + 1).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    taken, room = [], sample_bytes
+    for r in sizes:
+        if r["size"] <= room:
+            taken.append((r["doc_id"], r["y"]))
+            room -= r["size"]
+    texts = known.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, y int")), "doc_id")
+    use = telling(texts)
+    kept = docs.sparkSession.sparkContext.broadcast(use)
 
     def pack(block: pa.RecordBatch) -> list[pa.Array]:
         features, owner, some, docs = sentences(block.column("text"))
-        use = kept.value[features]
-        features, owner = features[use], owner[use]
+        marked = kept.value[features]
+        features, owner = features[marked], owner[marked]
         order = np.argsort(owner, kind="stable")
         counts = np.bincount(owner, minlength=len(some))
         width = np.append(0, np.cumsum(counts))[np.append(0, docs)]
@@ -117,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: i
     flat = [got.column(c).combine_chunks() for c in ("features", "counts")]
     features, counts = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int32) for x in flat)
     ends = np.cumsum(pc.list_value_length(flat[1]).to_numpy(zero_copy_only=False).astype(np.int64))
-    return fit(features, np.repeat(np.arange(len(counts), dtype=np.int32), np.maximum(counts, 0)), counts >= 0, ends, got.column("y").to_numpy())
+    return fit(features, np.repeat(np.arange(len(counts), dtype=np.int32), np.maximum(counts, 0)), counts >= 0, ends, got.column("y").to_numpy(), use)
 
 
 def telling(labelled: DataFrame, *, least: int = 5, z: float = 2.0) -> np.ndarray:
@@ -179,7 +196,9 @@ _MARK = bytes(0x0A if b in BREAKS else b for b in range(256))
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted, offending.
 
-    Null and empty texts score 0. Without usable labels all scores are near 0. A null doc_id is not held out.
+    Null and empty texts score 0; texts of any length are read whole. Without usable labels all scores are near 0. A null doc_id is not held out. Repeated rows are scored
+    each on their own and count in training as often as they are there. An empty table gives an empty one, and other columns of docs, whatever their names, are not read.
+    offending are the places (start, end, ... in code points) of the sentences with a probability of half or more.
     """
     scored = apply(id_and_text(docs), train(docs, labels, **options))
     return scored.select("doc_id", F.coalesce(fold_of() == 0, F.lit(False)).alias("held_out"), "score", "predicted", "offending")
