@@ -8,7 +8,9 @@ already), tables by the executors.
 from __future__ import annotations
 
 import copy
+import hashlib
 import json
+import shutil
 import time
 import uuid
 from collections.abc import Iterable, Sequence
@@ -19,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -34,12 +38,22 @@ ROW = "id bigint, vector array<float>, metadata string"
 ARROW_ROW = pa.schema([("id", pa.int64()), ("vector", pa.list_(pa.float32())), ("metadata", pa.string())])
 
 
+#: Bytes that rows inserted through the driver may take if no capacity is given.
+DRIVER_BYTES = 1 << 30
+#: New rows that are indexed as a small graph of their own, at most, and how many such graphs there may be before they are merged.
+SEGMENT_ROWS, SEGMENTS = 256, 8
+#: Pages of data files are checked against their checksums.
+CHECKED = {"parquet.page.verify-checksum.enabled": "true"}
+
+
 @dataclass(frozen=True)
 class DbOptions:
-    map_size: int = 1 << 30
+    """map_size bounds all rows if it is given. By default only what passes through the driver is bounded, and tables (append) are not."""
+
+    map_size: int | None = None
 
     def __post_init__(self) -> None:
-        if self.map_size < 1 << 20:
+        if self.map_size is not None and self.map_size < 1 << 20:
             raise InvalidInput("the capacity is 1 MiB at least")
 
 
@@ -55,8 +69,10 @@ class VectorDb:
 
     def __init__(self, spark: SparkSession, path: str | Path, options: DbOptions = DbOptions()) -> None:
         self.spark, self.path = spark, Path(path).resolve()
-        self._catalog = Catalog(self.path, options.map_size)
-        self._graphs: dict[tuple, DataFrame] = {}
+        self._bounded = options.map_size is not None
+        self._catalog = Catalog(self.path, options.map_size if self._bounded else DRIVER_BYTES)
+        #: Files that were compared with the manifest since this database was opened.
+        self._sound: set[tuple] = set()
 
     open = classmethod(lambda cls, spark, path, options=DbOptions(): cls(spark, path, options))
 
@@ -218,14 +234,20 @@ class Collection:
             self.db._catalog.commit(now)
             return ids
 
-    def append(self, rows: DataFrame, order: str, vector: str = "vector", metadata: str | None = "metadata") -> tuple[int, int]:
-        """Insert a table (metadata are JSON texts) at once; ids are contiguous in the order of a column. Returns the first id and the number.
+    def append(self, rows: DataFrame, order: str, vector: str = "vector", metadata: str | None = "metadata", *, once: str | None = None) -> tuple[int, int]:
+        """Insert a table (metadata are JSON texts) at once; ids are contiguous in the order of a column, of equal ones in that of metadata and vector.
+        Returns the first id and the number.
 
-        Rows are range-partitioned by the order column; partition sizes give offsets, and rows are numbered in their partitions.
+        Rows are range-partitioned by the order column; partition sizes give offsets, and rows are numbered in their partitions. With ``once``, a name for this
+        table, a repetition of the append under the same name inserts nothing.
         """
         with self.db._catalog.mutex:
             now = self.db._catalog.read()
             entry = self._entry(now)
+            if once is not None:
+                if once in entry.done:
+                    return now.next_id, 0
+                entry.done = [x for x in entry.done if x.rpartition(":")[0] != once.rpartition(":")[0]] + [once]
             checks.vectors(rows, entry.config.dim, order, vector)
             text = F.to_json(F.try_parse_json(F.col(metadata))) if metadata else F.lit("null")
             text = F.coalesce(F.when(text.isNotNull(), F.col(metadata)) if metadata else text, F.lit("null"))
@@ -238,21 +260,25 @@ class Collection:
             sizes = staged.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("metadata")).alias("b")).orderBy("_p").collect()
             n = sum(s["n"] for s in sizes)
             if not n:
+                shutil.rmtree(self.db.path / stage)
                 return now.next_id, 0
-            now.bytes += sum(s["b"] + 4 * entry.config.dim * s["n"] for s in sizes)
-            if now.bytes > self.db._catalog.capacity:
-                raise Kv(f"{now.bytes} bytes exceed the capacity of {self.db._catalog.capacity}")
+            if self.db._bounded:
+                now.bytes += sum(s["b"] + 4 * entry.config.dim * s["n"] for s in sizes)
+                if now.bytes > self.db._catalog.capacity:
+                    shutil.rmtree(self.db.path / stage)
+                    raise Kv(f"{now.bytes} bytes exceed the capacity of {self.db._catalog.capacity}")
             first, starts, at = _take(now, entry, n), [], now.next_id - n
             for s in sizes:
                 starts.append((s["_p"], at))
                 at += s["n"]
             offsets = F.broadcast(self.db.spark.createDataFrame(starts, "_p int, _at bigint"))
-            numbered = staged.join(offsets, "_p").withColumn("id", F.col("_at") + F.row_number().over(W.partitionBy("_p").orderBy("_o")) - 1)
+            numbered = staged.join(offsets, "_p").withColumn("id", F.col("_at") + F.row_number().over(W.partitionBy("_p").orderBy("_o", "metadata", "vector")) - 1)
             numbered.select("id", "vector", "metadata").write.parquet(self.db._file(name))
             entry.config.revision += 1
             entry.batches.append([name, n])
             entry.rows += n
             self.db._catalog.commit(now)
+            shutil.rmtree(self.db.path / stage)
             return first, n
 
     def delete_vector(self, vector_id: int) -> bool:
@@ -319,11 +345,26 @@ class Collection:
         spark = self.db.spark
         if not entry.batches:
             return spark.createDataFrame([], f"{ROW}, file string" if more else ROW)
-        rows = spark.read.schema(ROW).parquet(*(self.db._file(b) for b, _ in entry.batches))
+        self._check(entry)
+        rows = spark.read.schema(ROW).options(**CHECKED).parquet(*(self.db._file(b) for b, _ in entry.batches))
         rows = rows.select("*", *more) if more else rows
         gone = self._gone(entry)
         return rows if gone is None else rows.join(gone, "id", "left_anti")
 
+    def _check(self, entry: Entry) -> None:
+        """Each file's footer must agree with the manifest, once since the database was opened: whatever is missing, cut off or not of the schema is Corrupt."""
+        for name, rows in entry.batches:
+            if (name,) in self.db._sound:
+                continue
+            try:
+                parts = [pq.ParquetFile(x) for x in _parts(self.db.path / name)]
+                found, kinds = sum(x.metadata.num_rows for x in parts), {tuple(x.schema_arrow.names) for x in parts}
+            except (OSError, pa.ArrowInvalid, pa.ArrowException) as e:
+                raise Corrupt(f"{name}: {e}") from e
+            if found != rows or kinds != {tuple(ARROW_ROW.names)}:
+                raise Corrupt(f"{name}: {found} rows where the manifest has {rows}, or other columns")
+            self.db._sound.add((name,))
+
     def _gone(self, entry: Entry) -> DataFrame | None:
         return self.db.spark.read.schema("id bigint").parquet(*(self.db._file(t) for t in entry.tombstones)) if entry.tombstones else None
 
@@ -352,39 +393,84 @@ class Collection:
     # The index
 
     def refresh_index(self, *, shards: int | None = None) -> DataFrame:
-        """Nodes of a graph of the current revision: reused, extended, or built anew, and published."""
+        """Nodes (index.NODES) of the graphs of the current revision: reused, extended, or built anew, and published."""
+        return index.nodes_of(self.graphs(shards=shards), self.config().dim)
+
+    def graphs(self, *, shards: int | None = None) -> DataFrame:
+        """The graphs (index.GRAPHS) themselves.
+
+        A published index is compared with its digest and its graphs with the rules of sound ones when it is first used; whatever is wrong with it, it is
+        built anew. Deletions leave it as it is, a few new rows become a graph of their own, more are inserted into the graphs of their shards.
+        """
         with self.db._catalog.mutex:
             now = self.db._catalog.read()
             entry = self._entry(now)
             config, spark = entry.config, self.db.spark
-            known = entry.index
-            if known and known["generation"] == config.generation and known["dim"] == config.dim and known["revision"] <= config.revision and (shards is None or shards == known["shards"]):
-                try:
-                    nodes = spark.read.schema(index.NODES).parquet(self.db._file(known["path"]))
-                    if nodes.count() != known["rows"]:
-                        raise Corrupt("index rows")
-                except Exception:  # derived data: whatever is wrong with it, it is built anew
-                    known = None
-            else:
+            metric, known = Metric.parse(config.metric), entry.index
+            if known and not ("state" in known and known["generation"] == config.generation and known["dim"] == config.dim and known["revision"] <= config.revision and shards in (None, known["shards"]) and self._trusted(known, metric)):
                 known = None
-            if known and known["revision"] == config.revision:
-                return nodes
+            if known:
+                read = lambda info: spark.read.schema(index.GRAPHS).parquet(self.db._file(info["path"] + "/base"), *(self.db._file(x) for x, _ in info["segments"]))
+                fresh = entry.rows - known["seen"]
+                if known["revision"] == config.revision:
+                    return read(known)
+                if not fresh or fresh <= SEGMENT_ROWS and len(known["segments"]) < SEGMENTS:
+                    entry.index = known | {"revision": config.revision, "seen": entry.rows, "batches": len(entry.batches), "segments": known["segments"] + ([self._segment(entry, known, metric)] if fresh else [])}
+                    self.db._catalog.commit(now)
+                    return read(entry.index)
             rows = self._rows(entry)
-            metric = Metric.parse(config.metric)
-            shards = known["shards"] if known else shards or index.shards_for(entry.rows - entry.deleted)
-            new = index.extend(nodes, rows, metric, config.dim, shards) if known else index.build(rows, metric, config.dim, shards)
+            shards = known["shards"] if known else shards or index.shards_for(entry.rows - entry.deleted, config.dim)
+            new = index.extend(spark.read.schema(index.GRAPHS).parquet(self.db._file(known["path"] + "/base")), rows, metric, config.dim, shards) if known else index.build(rows, metric, config.dim, shards)
             path = f"index/{self._folder}/r{config.revision}-{uuid.uuid4().hex}"
-            new.write.parquet(self.db._file(path))
-            nodes = spark.read.schema(index.NODES).parquet(self.db._file(path))
-            entry.index = {"path": path, "revision": config.revision, "generation": config.generation, "dim": config.dim, "shards": shards, "rows": nodes.count()}
+            new.write.option("maxRecordsPerFile", 1).parquet(self.db._file(path + "/base"))
+            graphs = spark.read.schema(index.GRAPHS).parquet(self.db._file(path + "/base"))
+            entry.index = {"path": path, "revision": config.revision, "generation": config.generation, "dim": config.dim, "shards": shards, "seen": entry.rows, "batches": len(entry.batches), "state": list(index.state(graphs, metric, config.dim)), "segments": []}
+            self.db._sound.add((path, "base"))
             self.db._catalog.commit(now)
-            return nodes
+            return graphs
+
+    def _segment(self, entry: Entry, known: dict, metric: Metric) -> list[str]:
+        """Index the rows of the batches since the index was made in a graph of their own; a file and its digest. SEGMENT_ROWS rows at most."""
+        try:
+            rows = ds.dataset([p for b, _ in entry.batches[known["batches"] :] for p in _parts(self.db.path / b)]).to_table(columns=["id", "vector"]).sort_by("id")
+            if entry.tombstones:
+                gone = ds.dataset([p for t in entry.tombstones for p in _parts(self.db.path / t)]).to_table(columns=["id"], filter=pc.field("id").isin(rows.column("id")))
+                rows = rows.filter(pc.invert(pc.is_in(rows.column("id"), value_set=gone.column("id").combine_chunks())))
+        except (OSError, pa.ArrowInvalid) as e:
+            raise Corrupt(str(e)) from e
+        graph = index.grown(metric, entry.config.dim, rows.column("id").to_pylist(), rows.column("vector").to_pylist())
+        name = f"{known['path']}/segment-{len(known['segments'])}-{uuid.uuid4().hex}.parquet"
+        _write(self.db.path / name, index.row_of(known["shards"] + len(known["segments"]), graph))
+        return [name, hashlib.sha256((self.db.path / name).read_bytes()).hexdigest()]
+
+    def _trusted(self, known: dict, metric: Metric) -> bool:
+        try:
+            for name, digest in known["segments"]:
+                if (name, digest) not in self.db._sound:
+                    if hashlib.sha256((self.db.path / name).read_bytes()).hexdigest() != digest:
+                        return False
+                    self.db._sound.add((name, digest))
+            base = (known["path"], "base")
+            if base not in self.db._sound or not (self.db.path / known["path"] / "base").exists():
+                graphs = self.db.spark.read.schema(index.GRAPHS).parquet(self.db._file(known["path"] + "/base"))
+                if list(index.state(graphs, metric, known["dim"])) != known["state"] or known["state"][1] < 0:
+                    return False
+                self.db._sound.add(base)
+        except Exception:  # derived data: whatever is wrong with it, it is built anew
+            return False
+        return True
 
     def index_info(self) -> dict | None:
-        """Constants of the published index and what it was built from; None without one."""
+        """Constants of the published index, what it was built from, its number of nodes (len), whether it has none (is_empty), and level and id of its entry
+        points, by graph; None without one."""
         with self.db._catalog.mutex:
             found = self._entry(self.db._catalog.read()).index
-        return None if found is None else found | {"m": index.M, "m_bottom": index.M_BOTTOM, "ef_construction": 128}
+            if found is None:
+                return None
+            graphs = self.db.spark.read.schema(index.GRAPHS).parquet(self.db._file(found["path"] + "/base"), *(self.db._file(x) for x, _ in found["segments"]))
+        tops = graphs.where(F.size("ids") > 0).select("shard", F.size("ids").alias("n"), F.array_max("levels").alias("level"), F.element_at("ids", F.array_position("levels", F.array_max("levels")).cast("int")).alias("id")).collect()  # a row for each graph
+        size = sum(r["n"] for r in tops)
+        return found | {"m": index.M, "m_bottom": index.M_BOTTOM, "ef_construction": 128, "len": size, "is_empty": size == 0, "max_level": max((r["level"] for r in tops), default=0), "entry_points": {r["shard"]: r["id"] for r in tops}}
 
 
 def _parts(path: Path) -> list[str]:
@@ -413,7 +499,10 @@ class QueryBuilder:
         return replace(self, _ef=width)
 
     def to_df(self) -> DataFrame:
-        """(id, score, metadata), best first, lazily over the state of the collection at this call."""
+        """(id, score, metadata), best first, over the state of the collection at this call.
+
+        The ranking itself is lazy. An approximate query first brings the index up to date, which runs jobs and publishes it if it isn't.
+        """
         config = self.collection.config()
         checks.vector(self.vector, config.dim)
         if self._ef <= 0:
@@ -427,7 +516,7 @@ class QueryBuilder:
             rows = rows.where(self._filter.column()) if self._filter is not None else rows
             return exact.top_k(rows, self.vector, self.k, metric).select("id", "score", "metadata")
         with self.collection.db._catalog.mutex:
-            nodes = self.collection.refresh_index()
+            nodes = self.collection.graphs()
             gone = self.collection._gone(self.collection._entry(self.collection.db._catalog.read()))
         hits = index.search(nodes, [(0, self.vector)], self.k, self._ef, metric, config.dim, gone)
         # k rows at most: the metadata of these alone are looked up.
@@ -435,5 +524,11 @@ class QueryBuilder:
         return found.orderBy("rank").select("id", "score", "metadata")
 
     def execute(self) -> list[ScoredVector]:
-        """The hits themselves; k rows at most."""
-        return [ScoredVector(r["id"], r["score"], None if r["metadata"] is None else json.loads(r["metadata"])) for r in self.to_df().collect()]
+        """The hits themselves; k rows at most. Data that can't be read is Corrupt."""
+        try:
+            found = self.to_df().collect()
+        except (Py4JJavaError, PySparkException) as e:
+            if any(x in str(e) for x in ("ParquetDecodingException", "CRC", "checksum", "FAILED_READ_FILE", "is not a Parquet file")):
+                raise Corrupt(str(e)[:500]) from e
+            raise
+        return [ScoredVector(r["id"], r["score"], None if r["metadata"] is None else json.loads(r["metadata"])) for r in found]

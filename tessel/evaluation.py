@@ -90,7 +90,7 @@ def evaluate(spark: SparkSession, corpus_path: str, queries_path: str, db_path:
         timed("incremental_ingest_ms", lambda: notes.append(rows.where(F.col("source") > cut), "o"))
     with VectorDb(spark, db_path) as db:
         notes = db.collection(COLLECTION)
-        nodes = timed("refresh_ms", notes.refresh_index)
+        nodes = timed("refresh_ms", notes.graphs)
         report["chunks"] = notes.rows().count()
         asked = queries.withColumn("qid", F.row_number().over(Window.orderBy("text")).cast("long"))
         known = asked.collect()  # a file of questions

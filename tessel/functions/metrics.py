@@ -39,7 +39,17 @@ class Metric(Enum):
         if self is Metric.EUCLIDEAN:
             squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
             return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).cast("float")
-        scale = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+        return self.scaled(a, b, self.norm(a), self.norm(b))
+
+    def norm(self, a: Column) -> Column:
+        """What scaled() needs to know of each side."""
+        return F.sqrt(dot(a, a)) if self is Metric.COSINE else F.lit(1.0)
+
+    def scaled(self, a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+        """score(a, b), with the norms known."""
+        if self is not Metric.COSINE:
+            return self.score(a, b)
+        scale = norm_a * norm_b
         return F.when(scale == 0, 1.0).otherwise(1.0 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.when(scale != 0, scale)))).cast("float")
 
     def order(self, score: str | Column) -> Column:

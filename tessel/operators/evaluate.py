@@ -40,10 +40,30 @@ def hit_rate(found: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
 
 
 def nearest_rank(x: str | Column, p: float) -> Column:
-    """Aggregate: the value at place round((n - 1) * p), half away from zero, of the sorted values."""
+    """Aggregate: the value at place round((n - 1) * p), half away from zero, of the sorted values; for groups that fit a task. Of others nearest_ranks() has it."""
     return F.element_at(F.sort_array(F.collect_list(x)), F.round((F.count(x) - 1) * p).cast("int") + 1)
 
 
+def nearest_ranks(rows: DataFrame, by: str, value: str, ps: dict[str, float], groups: int = 1024) -> DataFrame:
+    """(by, *names): for each group and each name's p the value at place round((n - 1) * p), half away from zero, of the group's sorted values; nulls aren't counted.
+
+    No group is held in one place: equal values are counted first, a group's distinct values are cut into about ``groups`` ranges by approximate percentiles, the
+    ranges' counts are summed up, and only the range in which a place falls is ranked.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = counted.groupBy(by).agg(F.percentile_approx(value, [i / groups for i in range(1, groups)], 10 * groups).alias("_cuts"), F.sum("_n").alias("_all"))
+    # A value's range is the number of cuts below it.
+    placed = counted.join(cuts, counted[by].eqNullSafe(cuts[by])).select(counted[by], value, "_n", "_all", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value))).alias("_range"))
+    sums = placed.groupBy(by, "_range", "_all").agg(F.sum("_n").alias("_sum"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    asked = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), "_before", "_sum", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), (F.round((F.col("_all") - 1) * p) + 1).cast("long").alias("place")) for k, p in ps.items()))).alias("_p"))
+    asked = asked.where("_p.place > _before AND _p.place <= _before + _sum").select("_by", "_r", "_before", "_p.*")
+    run = F.sum("_n").over(W.partitionBy(by, "_range").orderBy(value))
+    ranged = placed.join(asked.select("_by", "_r", "_before").distinct(), placed[by].eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r"))).select(by, "_range", value, "_n", "_before").withColumn("_to", run + F.col("_before"))
+    found = asked.join(ranged.select(F.col(by).alias("_g"), F.col("_range").alias("_q"), value, "_n", "_to"), F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_r") == F.col("_q")) & (F.col("place") <= F.col("_to")) & (F.col("place") > F.col("_to") - F.col("_n")))
+    return found.groupBy(F.col("_by").alias(by)).agg(*(F.max(F.when(F.col("name") == k, F.col(value))).alias(k) for k in ps))
+
+
 def mismatched_models(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """(model): models of queries that no row has."""
     return queries.select("model").distinct().join(rows.select("model").distinct(), "model", "left_anti")

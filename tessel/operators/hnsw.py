@@ -29,6 +29,135 @@ def level_of(vector_id: int) -> int:
     return level
 
 
+def levels_of(ids: np.ndarray) -> np.ndarray:
+    """The same for many ids at once."""
+    with np.errstate(over="ignore"):
+        h = ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    zeros = np.stack([(h >> np.uint64(4 * i)) & np.uint64(15) == 0 for i in range(16)])
+    return np.minimum(np.cumprod(zeros, axis=0).sum(axis=0), MAX_LEVEL).astype(np.int32)
+
+
+#: An empty place in a beam.
+NOWHERE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def ordered(distances: np.ndarray) -> np.ndarray:
+    """float32 values as integers in the same order; of zeros, neither is the lesser."""
+    bits = (distances + np.float32(0)).astype(np.float32).view(np.uint32)
+    return np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
+
+
+class Frozen:
+    """A graph as arrays, for searches of many queries at once.
+
+    All queries of a block take their steps together: each expands its nearest node that isn't expanded yet, and the distances
+    to all new neighbours of all queries are one product. A beam is a row of integers (distance, node, whether expanded), so sorting a row sorts by
+    distance and then node. Every query goes exactly the way it would go alone.
+    """
+
+    def __init__(self, metric: Metric, ids: np.ndarray, vectors: np.ndarray, levels: np.ndarray, counts: np.ndarray, links: np.ndarray) -> None:
+        """counts has the number of neighbours of each node on each of its layers, by node and layer; links are the neighbours themselves."""
+        self.metric, self.ids, self.levels, self.rows = metric, ids, levels, vectors.astype(np.float64)
+        self.norms = np.sqrt(np.einsum("ij,ij->i", self.rows, self.rows))
+        n, starts = len(ids), np.concatenate([[0], np.cumsum(levels + 1)]).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        self.links = []
+        for layer in range(int(levels.max()) + 1 if n else 0):
+            here = np.flatnonzero(levels >= layer)
+            slot = starts[here] + layer
+            size = counts[slot]
+            table = np.full((n, max(1, int(size.max()))), -1, np.int32)
+            for j in range(table.shape[1]):
+                has = size > j
+                table[here[has], j] = links[ends[slot[has]] + j]
+            self.links.append(table)
+        self.entry = int(np.argmax(levels)) if n else -1
+
+    def faults(self) -> int:
+        """How many rules of a sound graph are broken: ids once each, targets that exist and reach the layer, no loops, no repeats, degrees and levels within bounds."""
+        n, bad = len(self.ids), 0
+        bad += len(np.unique(self.ids)) != n or bool((self.levels < 0).any()) or bool((self.levels > MAX_LEVEL).any())
+        for layer, table in enumerate(self.links):
+            real = table >= 0
+            inside = table < n
+            bad += bool((table < -1).any()) + bool(not inside.all()) + (real.sum(axis=1).max() > (M if layer else M_BOTTOM))
+            bad += bool((real & (table == np.arange(n)[:, None])).any()) + bool((self.levels[np.where(real & inside, table, 0)][real & inside] < layer).any())
+            near = np.sort(table, axis=1)
+            bad += bool(((near[:, 1:] == near[:, :-1]) & (near[:, 1:] >= 0)).any())
+        return bad
+
+    def distances(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Of each query to each node of its row, as Graph has them."""
+        rows = self.rows[nodes]
+        if self.metric is Metric.EUCLIDEAN:
+            rows = rows - queries[:, None, :]
+            return np.sqrt(np.einsum("qmd,qmd->qm", rows, rows)).astype(np.float32)
+        products = np.einsum("qmd,qd->qm", rows, queries)
+        if self.metric is Metric.DOT_PRODUCT:
+            with np.errstate(over="ignore"):
+                return -products.astype(np.float32)
+        scale = self.norms[nodes] * np.sqrt(np.einsum("qd,qd->q", queries, queries))[:, None]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(scale == 0, 1.0, 1.0 - np.clip(products / scale, -1.0, 1.0)).astype(np.float32)
+
+    def walk(self, queries: np.ndarray, entries: np.ndarray, width: int, layer: int) -> np.ndarray:
+        """Beams (queries x width) of the nearest nodes that a best-first walk from an entry each finds."""
+        table, n = self.links[layer], len(queries)
+        beam = np.full((n, width), NOWHERE)
+        beam[:, 0] = ordered(self.distances(queries, entries[:, None])[:, 0]) << np.uint64(32) | entries.astype(np.uint64) << np.uint64(1)
+        seen = np.zeros((n, len(self.ids)), bool)
+        seen[np.arange(n), entries] = True
+        live = np.arange(n)
+        while len(live):
+            own = beam[live]
+            open_ = (own & np.uint64(1) == 0) & (own != NOWHERE)
+            place = open_.argmax(axis=1)
+            go = open_[np.arange(len(live)), place]
+            live, own, place = live[go], own[go], place[go]
+            if not len(live):
+                break
+            at = np.arange(len(live))
+            node = (own[at, place] >> np.uint64(1) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+            own[at, place] |= np.uint64(1)
+            near = table[node]
+            fresh = (near >= 0) & ~seen[live[:, None], near]
+            row, column = np.nonzero(fresh)
+            seen[live[row], near[row, column]] = True
+            keys = np.full(near.shape, NOWHERE)
+            if len(row):
+                most = int(fresh.sum(axis=1).max())
+                order = np.argsort(~fresh, axis=1, kind="stable")[:, :most]
+                some = np.take_along_axis(near, order, axis=1)
+                ok = np.take_along_axis(fresh, order, axis=1)
+                d = self.distances(queries[live], np.where(ok, some, 0))
+                keys = np.where(ok, ordered(d) << np.uint64(32) | some.astype(np.uint64) << np.uint64(1), NOWHERE)
+                own = np.sort(np.concatenate([own, keys], axis=1), axis=1)[:, :width]
+            beam[live] = own
+        return beam
+
+    def search(self, queries: np.ndarray, k: int, ef: int, dead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the best k live nodes of each query, best first. dead marks nodes that are routes only; the beam widens by them."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        if not len(self.ids) or k <= 0 or not len(queries):
+            return none
+        queries = np.asarray(queries, np.float64)
+        at = np.full(len(queries), self.entry, np.int64)
+        for layer in range(len(self.links) - 1, 0, -1):
+            at = (self.walk(queries, at, 1, layer)[:, 0] >> np.uint64(1) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+        beam = self.walk(queries, at, min(max(ef, k) + int(dead.sum()), len(self.ids)), 0)
+        node = (beam >> np.uint64(1) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+        real = beam != NOWHERE
+        ok = real & ~dead[np.where(real, node, 0)]
+        ok &= np.cumsum(ok, axis=1) <= k
+        row, place = np.nonzero(ok)
+        code = (beam[row, place] >> np.uint64(32)).astype(np.uint32)
+        d = np.where(code >> 31, code & np.uint32(0x7FFFFFFF), ~code).astype(np.uint32).view(np.float32)
+        return row, self.ids[node[row, place]], (-d if self.metric is Metric.DOT_PRODUCT else d).astype(np.float32)
+
+
 class Graph:
     """Nodes in order of insertion: ids, vectors, levels, and by node and layer the neighbours' positions."""
 
@@ -102,8 +231,8 @@ class Graph:
                 return -products.astype(np.float32)
         norms = self._norms[nodes]
         if self.metric is Metric.EUCLIDEAN:
-            squares = norms * norms
-            return np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * products, 0.0)).astype(np.float32)
+            # Differences: squares minus products would cancel for near neighbours.
+            return np.stack([np.sqrt(((rows - x) ** 2).sum(axis=1)) for x in rows]).astype(np.float32)
         scale = norms[:, None] * norms[None, :]
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.where(scale == 0, 1.0, 1.0 - np.clip(products / scale, -1.0, 1.0)).astype(np.float32)
@@ -165,6 +294,21 @@ class Graph:
         live = [(self.ids[n], -d if self.metric is Metric.DOT_PRODUCT else d) for d, n in found if self.ids[n] not in gone]
         return live[:k]
 
+    def packed(self) -> dict[str, np.ndarray]:
+        """ids, levels, vectors (float32, one behind the other), counts and links; see Frozen."""
+        lists = [x for layers in self.links for x in layers]
+        counts = np.array([len(x) for x in lists], np.int32)
+        links = np.concatenate([np.asarray(x, np.int32) for x in lists]) if lists else np.zeros(0, np.int32)
+        return {"ids": np.array(self.ids, np.int64), "levels": np.array(self.levels, np.int32), "vectors": self._rows[: self.size].astype(np.float32).ravel(), "counts": counts, "links": links}
+
+    @classmethod
+    def unpacked(cls, metric: Metric, dim: int, ids, levels, vectors, counts, links) -> Graph:
+        """The graph again, ready for further nodes."""
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        each = [links[i:j].tolist() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        starts = np.concatenate([[0], np.cumsum(levels + 1)]).astype(np.int64)
+        return cls.restore(metric, ids.tolist(), vectors.reshape(-1, dim), levels.tolist(), [each[i:j] for i, j in zip(starts[:-1], starts[1:], strict=True)])
+
     @classmethod
     def restore(cls, metric: Metric, ids, vectors, levels, links) -> Graph:
         """A graph from its stored parts, in order of insertion."""

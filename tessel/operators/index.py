@@ -1,119 +1,172 @@
-"""The approximate index as a table: one row for each node, one graph for each shard.
+"""The approximate index as a table: one row for each graph, and a graph for each shard of the rows.
 
-A shard holds at most about SHARD_ROWS vectors, so that its graph fits a task; shards are built, extended and searched
-independently, and the best of all shards are merged by (score, id).
+A graph's nodes, vectors and links are packed into one row of arrays, so a search reads each graph where it lies, without a shuffle, and
+builds its matrices from the arrays at once. A shard holds at most about SHARD_ROWS vectors and SHARD_ELEMENTS numbers, so that its graph fits a
+task and its row a file; shards are built, extended and searched independently, and the best of all are merged by (score, id).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessel.functions.metrics import Metric
 from tessel.operators.exact import ranked
-from tessel.operators.hnsw import M, M_BOTTOM, MAX_LEVEL, Graph
+from tessel.operators.hnsw import M, M_BOTTOM, MAX_LEVEL, Frozen, Graph
 
-SHARD_ROWS = 25_000
-#: Queries in a block of search_table().
-QUERY_BLOCK = 1000
+SHARD_ROWS, SHARD_ELEMENTS = 25_000, 16_000_000
+#: Queries in a block of search_table(), and queries times nodes that a walk marks as seen at once.
+QUERY_BLOCK, MARKS = 1000, 8_000_000
+GRAPHS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("levels", T.ArrayType(T.IntegerType())), T.StructField("vectors", T.ArrayType(T.FloatType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("links", T.ArrayType(T.IntegerType()))])
 NODES = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("node", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("links", T.ArrayType(T.ArrayType(T.IntegerType())))])
+ARROW_GRAPH = pa.schema([("shard", pa.int32()), ("ids", pa.list_(pa.int64())), ("levels", pa.list_(pa.int32())), ("vectors", pa.list_(pa.float32())), ("counts", pa.list_(pa.int32())), ("links", pa.list_(pa.int32()))])
 
 
-def shards_for(rows: int, least: int = 1) -> int:
-    return max(least, -(-rows // SHARD_ROWS))
+def shards_for(rows: int, dim: int, least: int = 1) -> int:
+    return max(least, -(-rows // max(1, min(SHARD_ROWS, SHARD_ELEMENTS // dim))))
 
 
 def with_shard(rows: DataFrame, shards: int) -> DataFrame:
     return rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
 
-def _table(shard: int, graph: Graph, vectors) -> pd.DataFrame:
-    return pd.DataFrame({"shard": shard, "node": np.arange(graph.size, dtype=np.int32), "id": graph.ids, "level": graph.levels, "vector": list(vectors), "links": graph.links})[NODES.fieldNames()]
+def grown(metric: Metric, dim: int, ids: Iterable[int], vectors: Iterable, graph: Graph | None = None) -> Graph:
+    """A graph with further rows inserted in the order given."""
+    graph = graph or Graph(metric, dim)
+    for i, v in zip(ids, vectors, strict=True):
+        graph.insert(i, v)
+    return graph
 
 
-def _graph(metric: Metric, dim: int, nodes: pd.DataFrame) -> Graph:
-    nodes = nodes.sort_values("node")
-    if not len(nodes):
-        return Graph(metric, dim)
-    return Graph.restore(metric, nodes["id"].tolist(), list(nodes["vector"]), nodes["level"].tolist(), nodes["links"].tolist())
+def row_of(shard: int, graph: Graph) -> pa.Table:
+    """A graph as a table of one row of GRAPHS."""
+    return pa.table([pa.array([shard], pa.int32()), *(pa.array([x], ARROW_GRAPH.field(c).type) for c, x in graph.packed().items())], schema=ARROW_GRAPH)
+
+
+def _frame(shard: int, graph: Graph) -> pd.DataFrame:
+    return pd.DataFrame([{"shard": shard, **graph.packed()}])[GRAPHS.fieldNames()]
 
 
 def build(rows: DataFrame, metric: Metric, dim: int, shards: int) -> DataFrame:
-    """Nodes of new graphs over rows (id, vector), inserted by ascending id."""
+    """New graphs over rows (id, vector), inserted by ascending id."""
     name = metric.value
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        graph = Graph(Metric(name), dim)
-        for i, v in zip(pdf["id"].tolist(), pdf["vector"], strict=True):
-            graph.insert(i, v)
-        return _table(int(pdf["shard"].iloc[0]), graph, pdf["vector"])
+        return _frame(int(pdf["shard"].iloc[0]), grown(Metric(name), dim, pdf["id"].tolist(), pdf["vector"]))
 
-    return with_shard(rows.select("id", "vector"), shards).groupBy("shard").applyInPandas(grow, NODES)
+    return with_shard(rows.select("id", "vector"), shards).groupBy("shard").applyInPandas(grow, GRAPHS)
 
 
-def extend(nodes: DataFrame, rows: DataFrame, metric: Metric, dim: int, shards: int) -> DataFrame:
-    """Nodes with the rows whose ids are unknown inserted by ascending id; what is there stays as it is."""
+def extend(graphs: DataFrame, rows: DataFrame, metric: Metric, dim: int, shards: int) -> DataFrame:
+    """Graphs with the rows whose ids are unknown inserted by ascending id; what is there stays as it is."""
     name = metric.value
 
     def grow(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        old, new = old.sort_values("node"), new.sort_values("id")
-        graph = _graph(Metric(name), dim, old)
-        for i, v in zip(new["id"].tolist(), new["vector"], strict=True):
-            graph.insert(i, v)
-        shard = int((old if len(old) else new)["shard"].iloc[0])
-        return _table(shard, graph, [*old["vector"], *new["vector"]])
+        new = new.sort_values("id")
+        graph = Graph.unpacked(Metric(name), dim, *(np.asarray(old[c].iloc[0]) for c in GRAPHS.fieldNames()[1:])) if len(old) else None
+        return _frame(int((old if len(old) else new)["shard"].iloc[0]), grown(Metric(name), dim, new["id"].tolist(), new["vector"], graph))
+
+    known = graphs.select(F.explode("ids").alias("id"))
+    fresh = with_shard(rows.select("id", "vector").join(known, "id", "left_anti"), shards)
+    return graphs.groupBy("shard").cogroup(fresh.groupBy("shard")).applyInPandas(grow, GRAPHS)
+
 
-    fresh = with_shard(rows.select("id", "vector").join(nodes.select("id"), "id", "left_anti"), shards)
-    return nodes.groupBy("shard").cogroup(fresh.groupBy("shard")).applyInPandas(grow, NODES)
+def _frozen(metric: Metric, dim: int, batch: pa.RecordBatch) -> Iterator[Frozen]:
+    for i in range(batch.num_rows):
+        ids, levels, vectors, counts, links = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in GRAPHS.fieldNames()[1:])
+        yield Frozen(metric, ids, vectors.reshape(-1, dim), levels, counts, links)
 
 
-def search(nodes: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, ef: int, metric: Metric, dim: int, deleted: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score, rank) of the best k over all shards. deleted (id) are routes, never hits.
+def search(graphs: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, ef: int, metric: Metric, dim: int, deleted: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score, rank) of the best k over all graphs. deleted (id) are routes, never hits.
 
     queries are held by every task; callers pass them in blocks.
     """
-    name, asked = metric.value, [(int(q), np.asarray(v, np.float64)) for q, v in queries]
+    name, qids = metric.value, np.array([q for q, _ in queries], np.int64)
+    matrix = np.array([v for _, v in queries], np.float64).reshape(len(qids), dim)
     schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.FloatType())])
-    gone = nodes.select("id").join(deleted.select("id").distinct().withColumn("gone", F.lit(True)), "id", "left") if deleted is not None else None
-    marked = nodes.join(gone, "id") if gone is not None else nodes.withColumn("gone", F.lit(False))
-
-    def look(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph = _graph(Metric(name), dim, pdf)
-        dead = set(pdf["id"][pdf["gone"] == True].tolist())  # noqa: E712  (null: not deleted)
-        rows = [(q, i, s) for q, v in asked for i, s in graph.search(v, k, ef, dead)]
-        return pd.DataFrame(rows, columns=["qid", "id", "score"]).astype({"qid": "int64", "id": "int64", "score": "float32"})
-
-    return ranked(marked.groupBy("shard").applyInPandas(look, schema), k, metric)
-
-
-def search_table(nodes: DataFrame, queries: DataFrame, k: int, ef: int, metric: Metric, dim: int, deleted: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """search() for a table of queries (qid, query), read in blocks; each block is one pass over the nodes, which are kept on disk for that."""
-    nodes, out, part = nodes.persist(StorageLevel.DISK_ONLY), None, []
+    if deleted is not None:
+        # Deleted ids meet their graph, one array for each.
+        known = graphs.select("shard", F.explode("ids").alias("id")).join(deleted.select("id").distinct(), "id", "left_semi")
+        graphs = graphs.join(known.groupBy("shard").agg(F.collect_list("id").alias("gone")), "shard", "left")
+    dead = deleted is not None
+
+    def look(batches):
+        for batch in batches:
+            for i, graph in enumerate(_frozen(Metric(name), dim, batch)):
+                gone = batch.column("gone")[i].as_py() if dead else None
+                hidden = np.isin(graph.ids, np.array(gone or [], np.int64))
+                step = max(1, MARKS // max(1, len(graph.ids)))
+                for s in range(0, len(qids), step):
+                    q, ids, score = graph.search(matrix[s : s + step], k, ef, hidden)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[s : s + step][q]), pa.array(ids), pa.array(score)], names=["qid", "id", "score"])
+
+    return ranked(graphs.mapInArrow(look, schema), k, metric)
+
+
+def search_table(graphs: DataFrame, queries: DataFrame, k: int, ef: int, metric: Metric, dim: int, deleted: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """search() for a table of queries (qid, query), read in blocks; each block is one pass over the graphs."""
+    out, part = None, []
     for qid, query in queries.select("qid", "query").toLocalIterator():
         part.append((qid, query))
         if len(part) == block:
-            hits = search(nodes, part, k, ef, metric, dim, deleted)
+            hits = search(graphs, part, k, ef, metric, dim, deleted)
             out, part = hits if out is None else out.unionByName(hits), []
     if part or out is None:
-        hits = search(nodes, part, k, ef, metric, dim, deleted)
+        hits = search(graphs, part, k, ef, metric, dim, deleted)
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
+def nodes_of(graphs: DataFrame, dim: int) -> DataFrame:
+    """NODES, a row for each node of each graph."""
+    def unpack(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = batch.column("shard")[i].as_py()
+                ids, levels, vectors, counts, links = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in GRAPHS.fieldNames()[1:])
+                ends, starts = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(levels + 1)])
+                inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(links, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), shard, np.int32)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids), pa.array(levels), pa.ListArray.from_arrays(pa.array(np.arange(0, len(vectors) + 1, dim), pa.int32()), pa.array(vectors)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), inner)], names=NODES.fieldNames())
+
+    return graphs.mapInArrow(unpack, NODES)
+
+
+def state(graphs: DataFrame, metric: Metric, dim: int) -> tuple[int, int, int]:
+    """(graphs and nodes as one number each, digest), or a negative digest if a graph is unsound: what a published index is compared with when it is opened."""
+    name = metric.value
+
+    def check(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parts = [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in GRAPHS.fieldNames()[1:]]
+                ids, levels, vectors, counts, links = parts
+                fits = len(ids) == len(levels) and len(vectors) == dim * len(ids) and len(counts) == int((levels + 1).sum()) and len(links) == int(counts.sum()) and bool((counts >= 0).all()) and bool((levels >= 0).all()) and bool((levels <= MAX_LEVEL).all())
+                try:
+                    bad = not fits or Frozen(Metric(name), ids, vectors.reshape(-1, dim), levels, counts, links).faults() > 0
+                except (IndexError, ValueError):
+                    bad = True
+                yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([bool(bad)])], names=["nodes", "bad"])
+
+    digest = graphs.select(F.xxhash64("shard", "ids", "levels", "vectors", "counts", "links").alias("h")).agg(F.bit_xor("h")).first()[0] or 0
+    n, nodes, bad = graphs.mapInArrow(check, "nodes bigint, bad boolean").agg(F.count(F.lit(1)), F.sum("nodes"), F.count_if("bad")).first()
+    return n, -1 if bad else nodes or 0, digest
+
+
 def links_of(nodes: DataFrame) -> DataFrame:
     """(shard, node, layer, neighbor), a row for each edge."""
     return nodes.select("shard", "node", F.posexplode("links").alias("layer", "neighbors")).select("shard", "node", "layer", F.explode("neighbors").alias("neighbor"))
 
 
 def violations(nodes: DataFrame) -> DataFrame:
-    """(rule, n): how often each rule of a sound graph is broken; a row for each rule."""
+    """(rule, n): how often each rule of a sound graph is broken, of NODES; a row for each rule."""
     edges = links_of(nodes)
     target = nodes.select("shard", F.col("node").alias("neighbor"), F.col("level").alias("target_level"))
     ends = edges.join(target, ["shard", "neighbor"], "left")

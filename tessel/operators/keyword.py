@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,29 +16,30 @@ def tokens(text):
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def words_of(query: str) -> list[str]:
+    """The distinct tokens of a query, in order."""
+    return list(dict.fromkeys(re.findall("[a-z0-9]+", query.lower())))
+
+
 def scores(passages: DataFrame, query: str, *, tag: str | None = None) -> DataFrame:
     """passages (id, text, source, tags) of the tag with their score above zero. Statistics are those of the passages of the tag.
 
-    One pass gathers the statistics (a single row), another scores; no passage is shuffled.
+    Each pass over the texts finds a passage's length and the counts of the query's words by expressions over the text itself, without an array of its tokens: the first
+    gathers the statistics (a single row), the second scores. No passage is shuffled.
     """
     eligible = passages if tag is None else passages.where(F.array_contains("tags", tag))
-    split = eligible.withColumn("_t", tokens("text"))
-    terms = split.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(tokens("q"))).alias("term"))
-    wanted = [r[0] for r in terms.collect()]
-    sized = split.withColumn("_n", F.size("_t"))
-    stats = sized.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_avg"), *(F.count(F.when(F.array_contains("_t", w), 1)).alias(f"_df{i}") for i, w in enumerate(wanted)))
+    wanted = words_of(query)
+    low = F.lower("text")
+    # A token is a maximal run, so a word is one if neither neighbour belongs to the run.
+    count = lambda w: F.regexp_count(low, F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])"))
+    sized = eligible.withColumns({"_n": F.regexp_count(low, F.lit("[a-z0-9]+")), **{f"_f{i}": F.when(F.contains(low, F.lit(w)), count(w)).otherwise(0) for i, w in enumerate(wanted)}})
+    found = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("_n").alias("avg"), *(F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"df{i}") for i in range(len(wanted)))).first()
     total = F.lit(0.0)
-    for i, w in enumerate(wanted):
-        f = F.aggregate("_t", F.lit(0), _count(w))
-        idf = F.ln(1.0 + (F.col("_docs") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
-        norm = f + K1 * ((1 - B) + B * F.col("_n") / F.col("_avg"))
-        total = total + F.when(f > 0, idf * f * (K1 + 1) / norm).otherwise(0.0)
-    scored = sized.crossJoin(stats).withColumn("score", total)  # stats is one row
-    return scored.where("score > 0").select(*passages.columns, "score")
-
-
-def _count(word: str):
-    return lambda n, x: n + F.when(x == word, 1).otherwise(0)
+    for i in range(len(wanted)):
+        f, df = F.col(f"_f{i}"), found[f"df{i}"]
+        norm = f + K1 * ((1 - B) + B * F.col("_n") / F.lit(found["avg"] or 1.0))
+        total = total + F.when(f > 0, F.lit(math.log(1.0 + (found["docs"] - df + 0.5) / (df + 0.5))) * f * (K1 + 1) / norm).otherwise(0.0)
+    return sized.withColumn("score", total).where("score > 0").select(*passages.columns, "score")
 
 
 def sources(passages: DataFrame, query: str, *, tag: str | None = None, limit: int = 5) -> DataFrame:

@@ -13,7 +13,7 @@ from tessel.functions import checks, passages
 from tessel.functions.filters import Filter
 from tessel.functions.metrics import Metric
 from tessel.operators import evaluate, exact, index, keyword
-from tessel.operators.hnsw import level_of
+from tessel.operators.hnsw import levels_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -383,7 +383,7 @@ _LEVEL_SQL = "WITH a AS (SELECT vec_id, " + _H[0][0] + " AS z0 FROM embeddings)"
 def _levels(spark, sf_dir):
     def levels(batches):
         for b in batches:
-            yield b.assign(level=[level_of(i) for i in b["id"]])
+            yield b.assign(level=levels_of(b["id"].to_numpy()))
 
     return embeddings(spark, sf_dir).select("id").mapInPandas(levels, "id bigint, level int")
 
@@ -477,7 +477,7 @@ def _recall(spark, sf_dir):
 @_query("percentile_nearest_rank", "WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type) SELECT event_type, v[1 + CAST(floor((len(v) - 1) * 0.5 + 0.5) AS INT)] AS p50, v[1 + CAST(floor((len(v) - 1) * 0.95 + 0.5) AS INT)] AS p95 FROM s")
 def _percentile(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(evaluate.nearest_rank("value", 0.5).alias("p50"), evaluate.nearest_rank("value", 0.95).alias("p95"))
+    return evaluate.nearest_ranks(events, "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @_query("model_mismatch", "SELECT 'other' AS model")

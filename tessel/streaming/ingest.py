@@ -9,9 +9,10 @@ from tessel.db import Collection
 
 
 def ingest(stream: DataFrame, collection: Collection, checkpoint: str, *, order: str, vector: str = "vector", metadata: str | None = "metadata", **trigger) -> StreamingQuery:
-    """Start the query. A batch that is repeated after a failure between its commit and the checkpoint is appended again."""
+    """Start the query. The manifest records the last batch of each checkpoint folder with the append itself, so one that is
+    repeated after a failure between its commit and the checkpoint inserts nothing."""
 
-    def append(batch: DataFrame, _: int) -> None:
-        collection.append(batch, order, vector, metadata)
+    def append(batch: DataFrame, number: int) -> None:
+        collection.append(batch, order, vector, metadata, once=f"{checkpoint}:{number}")
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
