@@ -1,4 +1,4 @@
-"""python -m tessel search DB QUERIES.jsonl | evaluate CORPUS.jsonl QUERIES.jsonl NEW_DB | show RESULT.json [--markdown [PATH]]"""
+"""python -m tessel search DB QUERIES.jsonl | evaluate CORPUS.jsonl QUERIES.jsonl NEW_DB [BATCH] | show RESULT.json|- [--markdown [PATH]] | prepare ..."""
 
 from __future__ import annotations
 
@@ -7,18 +7,23 @@ import json
 import sys
 from pathlib import Path
 
+from tessel import prepare
 from tessel.errors import VectorDbError
 from tessel.report import report_text, search_text
 
 
-def show(source: Path, markdown: str | None) -> None:
-    result = json.loads(source.read_text())
+def show(name: str, markdown: str | None) -> None:
+    """A hyphen stands for the standard input, which needs a path for Markdown."""
+    source = Path(name)
+    result = json.loads(sys.stdin.read() if name == "-" else source.read_text())
     text = report_text(result) if "recall_at_10" in result else search_text(result)
     if markdown is None:
         print(text, end="")
         return
+    if name == "-" and not markdown:
+        raise ValueError("Markdown of the standard input needs a path")
     target = Path(markdown) if markdown else source.with_suffix(".md")
-    if target.resolve() == source.resolve():
+    if name != "-" and target.resolve() == source.resolve():
         raise ValueError("the report would replace its input")
     target.write_text(text)
 
@@ -32,10 +37,13 @@ def main(args: list[str]) -> int:
             sub.add_argument(n)
         if name == "show":
             sub.add_argument("--markdown", nargs="?", const="", default=None)
+        if name == "evaluate":
+            sub.add_argument("batch", nargs="?", type=int, default=64)
+    prepare.arguments(kinds.add_parser("prepare", help="Markdown notes and questions into files for evaluate"))
     asked = parser.parse_args(args)
     try:
         if asked.command == "show":
-            show(Path(asked.result), asked.markdown)
+            show(asked.result, asked.markdown)
             return 0
         from pyspark.sql import SparkSession
 
@@ -44,8 +52,12 @@ def main(args: list[str]) -> int:
         spark = SparkSession.builder.appName("tessel").getOrCreate()
         if asked.command == "search":
             print(json.dumps(evaluation.search_file(spark, asked.db, asked.queries), ensure_ascii=False))
+        elif asked.command == "prepare":
+            print(json.dumps(prepare.run(spark, asked), ensure_ascii=False))
         else:
-            print(json.dumps(evaluation.evaluate(spark, asked.corpus, asked.queries, asked.db), ensure_ascii=False))
+            if asked.batch < 1:
+                raise ValueError("a batch has at least one row")
+            print(json.dumps(evaluation.evaluate(spark, asked.corpus, asked.queries, asked.db, batch=asked.batch), ensure_ascii=False))
         return 0
     except (VectorDbError, OSError, ValueError, KeyError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -50,18 +50,18 @@ def nearest_ranks(rows: DataFrame, by: str, value: str, ps: dict[str, float], gr
     No group is held in one place: equal values are counted first, a group's distinct values are cut into about ``groups`` ranges by approximate percentiles, the
     ranges' counts are summed up, and only the range in which a place falls is ranked.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = counted.groupBy(by).agg(F.percentile_approx(value, [i / groups for i in range(1, groups)], 10 * groups).alias("_cuts"), F.sum("_n").alias("_all"))
+    counted = rows.select(F.col(by).alias("g"), F.col(value).alias("v")).where("v IS NOT NULL").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    cuts = counted.groupBy(F.col("g").alias("cut_g")).agg(F.percentile_approx("v", [i / groups for i in range(1, groups)], 10 * groups).alias("cuts"), F.sum("n").alias("all"))
     # A value's range is the number of cuts below it.
-    placed = counted.join(cuts, counted[by].eqNullSafe(cuts[by])).select(counted[by], value, "_n", "_all", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value))).alias("_range"))
-    sums = placed.groupBy(by, "_range", "_all").agg(F.sum("_n").alias("_sum"))
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    asked = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), "_before", "_sum", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), (F.round((F.col("_all") - 1) * p) + 1).cast("long").alias("place")) for k, p in ps.items()))).alias("_p"))
-    asked = asked.where("_p.place > _before AND _p.place <= _before + _sum").select("_by", "_r", "_before", "_p.*")
-    run = F.sum("_n").over(W.partitionBy(by, "_range").orderBy(value))
-    ranged = placed.join(asked.select("_by", "_r", "_before").distinct(), placed[by].eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r"))).select(by, "_range", value, "_n", "_before").withColumn("_to", run + F.col("_before"))
-    found = asked.join(ranged.select(F.col(by).alias("_g"), F.col("_range").alias("_q"), value, "_n", "_to"), F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_r") == F.col("_q")) & (F.col("place") <= F.col("_to")) & (F.col("place") > F.col("_to") - F.col("_n")))
-    return found.groupBy(F.col("_by").alias(by)).agg(*(F.max(F.when(F.col("name") == k, F.col(value))).alias(k) for k in ps))
+    placed = counted.join(cuts, F.col("g").eqNullSafe(F.col("cut_g"))).select("g", "v", "n", "all", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("v"))).alias("range"))
+    sums = placed.groupBy("g", "range", "all").agg(F.sum("n").alias("sum"))
+    sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(W.partitionBy("g").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    places = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), (F.round((F.col("all") - 1) * p) + 1).cast("long").alias("place")) for k, p in ps.items())))
+    asked = sums.select(F.col("g").alias("in_g"), F.col("range").alias("in_range"), "before", "sum", places.alias("p")).where("p.place > before AND p.place <= before + sum").select("in_g", "in_range", "before", "p.*")
+    ranged = placed.join(asked.select("in_g", "in_range", "before").distinct(), F.col("g").eqNullSafe(F.col("in_g")) & (F.col("range") == F.col("in_range"))).select("g", "range", "v", "n", "before")
+    ranged = ranged.select("g", "range", "v", "n", (F.sum("n").over(W.partitionBy("g", "range").orderBy("v")) + F.col("before")).alias("to"))
+    found = asked.drop("before").join(ranged, F.col("g").eqNullSafe(F.col("in_g")) & (F.col("range") == F.col("in_range")) & (F.col("place") <= F.col("to")) & (F.col("place") > F.col("to") - F.col("n")))
+    return found.groupBy(F.col("in_g").alias(by)).agg(*(F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ps))
 
 
 def mismatched_models(rows: DataFrame, queries: DataFrame) -> DataFrame:

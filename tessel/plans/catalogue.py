@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.db import Collection, VectorDb
+from tessel.errors import InvalidInput, StaleCollection
 from tessel.functions import checks, passages
 from tessel.functions.filters import Filter
 from tessel.functions.metrics import Metric
 from tessel.operators import evaluate, exact, index, keyword
 from tessel.operators.hnsw import levels_of
+from tessel.sources import jsonl
+from tessel.sources.markdown import read_notes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -210,8 +215,20 @@ def _validation(spark, sf_dir):
 
 # The store: each query writes a database of its own
 
+def folder(spark: SparkSession) -> str:
+    """A new local path in the folder that driver and executors share, if that is a local one (a temporary folder in tests); it goes when the application ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
+    base = "/" + shared.removeprefix("file:").lstrip("/") if shared.startswith(("file:", "/")) else tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/tessel-db-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"file://{path}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def database(spark: SparkSession) -> VectorDb:
-    return VectorDb(spark, tempfile.mkdtemp(prefix="tessel-db-"))
+    return VectorDb(spark, folder(spark))
 
 
 def filled(db: VectorDb, rows: DataFrame, name: str = "notes", metric: Metric = Metric.COSINE) -> Collection:
@@ -313,6 +330,114 @@ def _collection_query(spark, sf_dir):
         return rounded(filled(db, rows).query(vector_of(rows), 10).filter(Filter("tags", "even")).to_df(), "id")
 
 
+@_query("locations", "SELECT vec_id AS id, 'notes' AS collection, CAST(64 AS INT) AS dim FROM embeddings WHERE vec_id <> 3")
+def _locations(spark, sf_dir):
+    with database(spark) as db:
+        made = filled(db, embeddings(spark, sf_dir))
+        made.delete_vector(3)
+        return made.locations().select("id", "collection", "dim")
+
+
+@_query("metadata_by_id", "SELECT vec_id AS id, 'note_' || CAST(vec_id // 5 AS VARCHAR) AS source FROM embeddings WHERE vec_id IN (0, 7, 44)")
+def _metadata(spark, sf_dir):
+    with database(spark) as db:
+        made = filled(db, embeddings(spark, sf_dir))
+        return spark.createDataFrame([(i, made.get_metadata(i)["source"]) for i in (0, 7, 44)], "id bigint, source string")
+
+
+@_query("note_replace", "SELECT vec_id AS id, vec_id AS was FROM embeddings WHERE vec_id // 5 <> 3 UNION ALL SELECT (SELECT count(*) FROM embeddings) + vec_id - 15, vec_id FROM embeddings WHERE vec_id // 5 = 3")
+def _replace(spark, sf_dir):
+    with database(spark) as db:
+        rows = embeddings(spark, sf_dir)
+        made = db.create_collection("notes", 64, Metric.COSINE)
+        meta = F.to_json(F.struct(F.concat(F.lit("note_"), F.floor(F.col("id") / 5).cast("string")).alias("source"), F.col("id").alias("was")))
+        made.append(rows.withColumn("metadata", meta), "id")
+        old = rows.where("id BETWEEN 15 AND 19").orderBy("id").collect()
+        made.replace_note("note_3", [(r["vector"], {"source": "note_3", "was": r["id"]}) for r in old])
+        return made.rows().select("id", F.get_json_object("metadata", "$.was").cast("long").alias("was"))
+
+
+@_query("id_allocation", "SELECT * FROM (VALUES ('row', CAST(0 AS BIGINT)), ('taken', 1), ('batch', 2), ('batch', 3), ('other', 4), ('taken', 5)) AS t(step, id)")
+def _allocation(spark, sf_dir):
+    with database(spark) as db:
+        a, b = db.create_collection("a", 1, "cosine"), db.create_collection("b", 1, "cosine")
+        ids = [("row", a.upsert_vector([1.0])), ("taken", db.allocate_vector_id("a"))]
+        ids += [("batch", i) for i in a.upsert_batch([([1.0], None), ([2.0], None)])]
+        ids += [("other", b.upsert_vector([1.0])), ("taken", db.allocate_vector_id("b"))]
+        return spark.createDataFrame(ids, "step string, id bigint")
+
+
+@_query("stale_handles", "SELECT * FROM (VALUES ('config', TRUE), ('insert', TRUE), ('delete', TRUE), ('query', TRUE), ('compact', TRUE), ('new handle', FALSE)) AS t(use, stale)")
+def _stale(spark, sf_dir):
+    with database(spark) as db:
+        old = db.create_collection("a", 1, "cosine")
+        old.upsert_vector([1.0])
+        db.delete_collection("a")
+        new = db.create_collection("a", 1, "cosine")
+
+        def stale(act) -> bool:
+            try:
+                act()
+            except StaleCollection:
+                return True
+            return False
+
+        uses = {"config": old.config, "insert": lambda: old.upsert_vector([1.0]), "delete": lambda: old.delete_vector(0), "query": lambda: old.query([1.0], 1).execute(), "compact": old.compact, "new handle": new.config}
+        return spark.createDataFrame([(k, stale(f)) for k, f in uses.items()], "use string, stale boolean")
+
+
+@_query("collection_names", "SELECT DISTINCT p_name AS name, regexp_full_match(p_name, '[A-Za-z0-9][A-Za-z0-9_-]{0,127}') AS valid FROM part UNION SELECT DISTINCT replace(p_name, ' ', '_'), regexp_full_match(replace(p_name, ' ', '_'), '[A-Za-z0-9][A-Za-z0-9_-]{0,127}') FROM part")
+def _names(spark, sf_dir):
+    def valid(name: str) -> bool:
+        try:
+            return bool(checks.name(name))
+        except InvalidInput:
+            return False
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    names = part.select(F.col("p_name").alias("name")).union(part.select(F.replace("p_name", F.lit(" "), F.lit("_")))).distinct()
+
+    def judge(batches):
+        for b in batches:
+            yield b.assign(valid=[valid(x) for x in b["name"]])
+
+    return names.mapInPandas(judge, "name string, valid boolean")
+
+
+@_query("dimension_rules", "SELECT DISTINCT CAST(p_size * 2000 - 4000 AS INT) AS dim, p_size * 2000 - 4000 BETWEEN 1 AND 65536 AS valid FROM part")
+def _dims(spark, sf_dir):
+    def valid(n: int) -> bool:
+        try:
+            return bool(checks.dim(n))
+        except InvalidInput:
+            return False
+
+    sizes = [r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_size") * 2000 - 4000).cast("int")).distinct().collect()]  # a few dozen
+    return spark.createDataFrame([(n, valid(n)) for n in sizes], "dim int, valid boolean")
+
+
+@_query("jsonl_round_trip", "SELECT vec_id AS id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total, 'é ' || CAST(label AS VARCHAR) AS tag FROM embeddings")
+def _jsonl(spark, sf_dir):
+    path = f"file://{folder(spark)}/corpus.jsonl"
+    rows = embeddings(spark, sf_dir)
+    tag = F.concat(F.lit("é "), F.col("label").cast("string"))
+    jsonl.write_jsonl(rows.select("vector", F.struct(F.col("id").cast("string").alias("source"), F.lit("t").alias("title"), F.col("label").cast("int").alias("chunk"), F.array(tag).alias("tags"), F.lit("x").alias("text"), F.lit("m").alias("model")).alias("metadata")), path)
+    read = jsonl.read_jsonl(spark, path, jsonl.CORPUS)
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return read.select(F.col("metadata.source").cast("long").alias("id"), F.col("metadata.chunk").alias("label"), F.round(total, 5).alias("total"), F.col("metadata.tags")[0].alias("tag"))
+
+
+@_query("markdown_notes", "SELECT 'b/even/' || CAST(item_id AS VARCHAR) || '.md' AS source, sha256(text) AS sha256 FROM benchmark WHERE item_id % 2 = 0")
+def _notes(spark, sf_dir):
+    """Every item as a file: the even ones are notes, and the odd ones lie in folders that are skipped or hidden."""
+    top = Path(folder(spark))
+    for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").toLocalIterator():
+        at = top / ("even" if r["item_id"] % 2 == 0 else ".odd" if r["item_id"] % 3 == 0 else "dist") / f"{r['item_id']}.md"
+        at.parent.mkdir(exist_ok=True)
+        at.write_text(r["text"], encoding="utf-8", newline="")
+    return read_notes(spark, {"b": str(top)}).select("source", "sha256")
+
+
 # The approximate index
 
 SHARDS = 8
@@ -323,11 +448,11 @@ def asked_of(rows, few=False):
     return rows.where("id < 10" if few else "id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("query"))
 
 
-def _search(spark, sf_dir, metric, *, ef, scale=True, few=False):
+def _search(spark, sf_dir, metric, *, ef, scale=True, few=False, shards=SHARDS):
     rows = embeddings(spark, sf_dir)
     rows = scaled(rows) if scale else rows
     asked = asked_of(rows, few)
-    return rows, index.search_table(index.build(rows, metric, 64, SHARDS), asked, 10, ef, metric, 64), asked
+    return rows, index.search_table(index.build(rows, metric, 64, shards), asked, 10, ef, metric, 64), asked
 
 
 for _m in Metric:
@@ -343,12 +468,13 @@ for _m in Metric:
 
 @_query("hnsw_default_beam", None)
 def _default_beam(spark, sf_dir):
-    return _ordered(_search(spark, sf_dir, Metric.COSINE, ef=64, scale=False)[1])
+    return _ordered(_search(spark, sf_dir, Metric.COSINE, ef=64, scale=False, shards=1)[1])
 
 
 @_query("hnsw_recall_ok", "SELECT TRUE AS ok")
 def _recall_ok(spark, sf_dir):
-    rows, hits, asked = _search(spark, sf_dir, Metric.COSINE, ef=64, scale=False)
+    # One graph of all rows, so that a beam of 64 sees a part of it only.
+    rows, hits, asked = _search(spark, sf_dir, Metric.COSINE, ef=64, scale=False, shards=1)
     truth = exact.knn_join_arrow(asked, rows, 10, Metric.COSINE)
     return evaluate.recall(hits, truth).select((F.col("recall") >= 0.95).alias("ok"))
 
@@ -432,6 +558,18 @@ def _title(spark, sf_dir):
     return docs.select("doc_id", passages.title(text, F.col("source")).alias("title"))
 
 
+@_query("passage", "SELECT doc_id, sha256(source || chr(10) || chr(10) || text) AS sha256 FROM documents")
+def _passage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.sha2(passages.passage(F.col("source"), F.col("text")), 256).alias("sha256"))
+
+
+@_query("doc_title_whole", "SELECT doc_id, coalesce(nullif(regexp_extract('intro' || chr(10) || '# ' || text, '(?m)^# (.+)$', 1), ''), source) AS title FROM documents")
+def _title_whole(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", passages.title(F.concat(F.lit("intro\n# "), F.col("text")), F.col("source")).alias("title"))
+
+
 @_query("snippet", "SELECT doc_id, text[1:240] AS snippet FROM documents")
 def _snippet(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", passages.snippet(F.col("text")).alias("snippet"))

@@ -91,3 +91,70 @@ def test_broken_graphs_are_reported(spark):
     rows = [(0, 0, 5, 0, [1.0], [[1, 1, 0, 9]]), (0, 1, 5, 1, [1.0], [[0], [0]])]
     found = {r["rule"]: r["n"] for r in index.violations(spark.createDataFrame(rows, index.NODES)).collect()}
     assert found == {"unique_ids": 1, "level_range": 0, "layers": 0, "degree": 0, "target_exists": 1, "target_level": 1, "self_loop": 1, "repeated_edge": 1}
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_blocks_of_queries_go_the_way_of_single_ones(metric):
+    from tessel.operators.hnsw import Frozen
+
+    draw = xorshift(42)
+    graph, dead = Graph(metric, 8), {3, 77, 205}
+    for i, v in enumerate(np.float32(vectors(draw, 600, 8)).tolist()):
+        graph.insert(i, v)
+    parts = graph.packed()
+    frozen = Frozen(metric, parts["ids"], parts["vectors"].reshape(-1, 8), parts["levels"], parts["counts"], parts["links"])
+    assert frozen.faults() == 0
+    queries = np.array(vectors(draw, 40, 8))
+    q, ids, scores = frozen.search(queries, 10, 16, np.isin(parts["ids"], list(dead)))
+    for i, x in enumerate(queries):
+        want = graph.search(x, 10, 16, dead)
+        assert ids[q == i].tolist() == [a for a, _ in want] and scores[q == i] == pytest.approx([s for _, s in want], rel=1e-6, abs=1e-6)
+    again = Graph.unpacked(metric, 8, *parts.values())
+    assert again.links == graph.links and again.search(queries[0], 5, 16) == graph.search(queries[0], 5, 16)
+    for harm in (lambda p: p["links"].__setitem__(0, 9999), lambda p: p["links"].__setitem__(slice(0, 2), p["links"][2]), lambda p: p["ids"].__setitem__(0, 5)):
+        broken = {k: v.copy() for k, v in parts.items()}
+        harm(broken)
+        assert Frozen(metric, broken["ids"], broken["vectors"].reshape(-1, 8), broken["levels"], broken["counts"], np.minimum(broken["links"], 600)).faults() > 0
+
+
+def test_levels_at_once():
+    from tessel.operators.hnsw import levels_of
+
+    ids = np.array([0, 1, 17, 2**40, 2**63 - 1, *range(5000, 5400)])
+    assert levels_of(ids).tolist() == [level_of(int(i)) for i in ids]
+
+
+def test_damaged_index_is_rebuilt_and_damaged_data_is_corrupt(spark, tmp_path):
+    from tessel.errors import Corrupt
+
+    draw = xorshift(5)
+    with VectorDb(spark, tmp_path) as db:
+        a = db.create_collection("a", 4, "cosine")
+        a.upsert_batch([(v, None) for v in vectors(draw, 50, 4)])
+        a.refresh_index(shards=2)
+        a.upsert_batch([(v, None) for v in vectors(draw, 5, 4)])
+        info = a.refresh_index() and a.index_info()
+        assert info["len"] == 55 and len(info["segments"]) == 1 and info["state"][1] == 50
+        query = vectors(draw, 1, 4)[0]
+        want = [h.id for h in a.query(query, 9).exact().execute()]
+    # A byte of a graph's arrays is changed, then a file is cut off, then one is missing.
+    for harm in (lambda f, x: f.write_bytes(x[:60] + bytes([x[60] ^ 255]) + x[61:]), lambda f, x: f.write_bytes(x[: len(x) // 2]), lambda f, x: f.unlink()):
+        file = sorted((tmp_path / info["path"]).rglob("*.parquet"))[0]
+        harm(file, file.read_bytes())
+        with VectorDb(spark, tmp_path) as db:
+            a = db.collection("a")
+            assert [h.id for h in a.query(query, 9).ef_search(60).execute()] == want and a.index_info()["path"] != info["path"]
+            info = a.index_info()
+    data = next((tmp_path / "data").rglob("batch-1-*.parquet"))
+    data.write_bytes(data.read_bytes()[:-20])
+    with VectorDb(spark, tmp_path) as db, pytest.raises(Corrupt):
+        db.collection("a").query(query, 3).exact().execute()
+
+
+def test_best_of_ties_goes_by_id():
+    from tessel.operators.exact import best_of
+
+    scores = np.float32([[0.5, 0.0, -0.0, 0.5, 2.0], [1.0, 1.0, 1.0, 1.0, 1.0]])
+    ids = np.array([9, 8, 7, 3, 1])
+    assert ids[best_of(scores, ids, 3, Metric.EUCLIDEAN)].tolist() == [[7, 8, 3], [1, 3, 7]]
+    assert ids[best_of(scores, ids, 9, Metric.DOT_PRODUCT)].tolist() == [[1, 3, 9, 7, 8], [1, 3, 7, 8, 9]]

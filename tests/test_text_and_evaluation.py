@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import pytest
@@ -12,11 +13,11 @@ from tessel.sources import jsonl, markdown
 
 
 def test_bm25_filter_and_sources(spark):
-    rows = [(0, "recover a crash", "notes/recovery.md", ["notes"]), (1, "recover a crash again", "notes/recovery.md", ["notes"]), (2, "recover crash crash crash", "other/crash.md", ["other"]), (3, "install a theme", "notes/theme.md", ["notes"])]
+    rows = [(0, "water the ferns", "garden/ferns.md", ["garden"]), (1, "water the ferns twice", "garden/ferns.md", ["garden"]), (2, "water ferns ferns ferns", "shed/tools.md", ["shed"]), (3, "prune a rose", "garden/rose.md", ["garden"])]
     table = spark.createDataFrame(rows, "id bigint, text string, source string, tags array<string>")
     names = lambda q, tag: [r[0] for r in keyword.sources(table, q, tag=tag).collect()]
-    assert names("recover crash", "notes") == ["notes/recovery.md"]
-    assert names("unknownword", None) == [] and names("recover", "absent") == [] and names("", None) == []
+    assert names("water ferns", "garden") == ["garden/ferns.md"]
+    assert names("unknownword", None) == [] and names("water", "absent") == [] and names("", None) == []
 
 
 @pytest.mark.parametrize("n", [0, 1, 320, 321, 592, 593])
@@ -35,16 +36,30 @@ def test_title_and_snippet(spark):
     assert spark.createDataFrame([("😀" * 300,)], "t string").select(F.length(passages.snippet(F.col("t")))).first()[0] == 240
 
 
-def test_markdown_tree(spark, tmp_path):
-    for d in ("docs", ".git", "dist", "node_modules", "Secure"):
-        (tmp_path / d).mkdir()
-        (tmp_path / d / "note.md").write_text("# É\ntext")
-    (tmp_path / "other.txt").write_text("x")
-    os.symlink(tmp_path / "docs/note.md", tmp_path / "linked.md")
-    assert [p.relative_to(tmp_path).as_posix() for p in markdown.markdown_paths(tmp_path)] == ["docs/note.md"]
-    (row,) = markdown.read_notes(spark, {"notes": tmp_path}).collect()
-    assert row["source"] == "notes/docs/note.md" and row["text"] == "# É\ntext"
-    assert markdown.read_notes(spark, {"x": tmp_path / "other.txt"}).count() == 0
+def test_notes_of_a_folder(spark, tmp_path):
+    for d in ("plants/a [b]", ".hidden", "dist", "x/node_modules", "Secure", "_drafts"):
+        (tmp_path / d).mkdir(parents=True)
+        (tmp_path / d / "leaf+é.MD").write_text(f"# {d}\ngreen")
+    (tmp_path / "plan.txt").write_text("x")
+    (tmp_path / ".secret.md").write_text("x")
+    os.symlink(tmp_path / "plants/a [b]/leaf+é.MD", tmp_path / "linked.md")
+    os.symlink(tmp_path / "plants", tmp_path / "behind")
+    rows = {r["source"]: r["text"] for r in markdown.read_notes(spark, {"n": tmp_path}).collect()}
+    assert rows == {"n/plants/a [b]/leaf+é.MD": "# plants/a [b]\ngreen", "n/_drafts/leaf+é.MD": "# _drafts\ngreen"}
+    (one,) = markdown.read_notes(spark, {"y": tmp_path / "_drafts/leaf+é.MD"}).collect()
+    assert one["source"] == "y/leaf+é.MD" and one["sha256"] == hashlib.sha256("# _drafts\ngreen".encode()).hexdigest()
+    assert markdown.read_notes(spark, {"x": tmp_path / "plan.txt"}).count() == 0
+
+
+def test_percentiles_of_large_groups(spark):
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 5000)) for v in range(n)] + [("d", 7.0)] * 3000 + [("d", None), (None, 3.0), (None, 4.0), (None, 9.0)]
+    table = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["p50"], r["p95"]) for r in evaluate.nearest_ranks(table, "g", "v", {"p50": 0.5, "p95": 0.95}, groups=16).collect()}
+    want = {}
+    for g in ("a", "b", "c", "d", None):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        want[g] = tuple(own[int((len(own) - 1) * p + 0.5)] for p in (0.5, 0.95))
+    assert got == want
 
 
 def test_jsonl(spark, tmp_path):
