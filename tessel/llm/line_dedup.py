@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.components import components  # noqa: F401  (the union-find that link() uses)
+from tessel.llm.native import bound
 from tessel.llm.near_dup import link
 from tessel.llm.shared import cut, id_and_text, release
 
@@ -42,11 +43,6 @@ def wordy(line: Column) -> Column:
     return F.length(F.ltrim(line, F.lit(BLANK))) > 0
 
 
-def bound(x: Column, then) -> Column:
-    """then(x), with x evaluated once, even where then() names it in a lambda."""
-    return F.transform(F.array(x), then)[0]
-
-
 def every_shingle(line: Column, width: int, hashed=F.xxhash64) -> Column:
     """Hashes of the distinct shingles at all positions. Four bytes stand for a character, so a place is found by multiplication."""
     each = lambda b: F.transform(F.sequence(F.lit(0), F.shiftright(F.length(b), 2) - 1), lambda i: hashed(F.substr(b, 4 * i + 1, F.lit(4 * width))))

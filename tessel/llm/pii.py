@@ -2,7 +2,7 @@
 
 Regular expressions propose spans. Java's split() and regexp_extract_all() run the same matcher, so the gaps that the one
 yields and the matches that the other yields alternate, and running sums of their lengths are the spans' places. Validators
-confirm (octets, Luhn, digit counts, mod 97), words nearby move the score, and what reaches the threshold is returned.
+confirm (octets, Luhn, digit counts, mod 97), words nearby, before and behind, move the score, and what reaches the threshold is returned.
 The expressions are written with possessive repeats and looks to the left, so that they stay linear on long runs; each
 comment names the plain form that it stands for.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm.native import bound, offsets
 from tessel.llm.shared import id_and_text
 
 #: Lengths of IBANs by country.
@@ -39,10 +40,16 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
-#: What a confirmed match of the kind scores by itself, and words before it that speak for or against it.
-SCORES = {"email": 1.0, "ip": 1.0, "card": 1.0, "phone": 1.0, "iban": 0.8, "ssn": 0.4}
-FOR = {"iban": r"(?i)iban|bank|account|konto|compte|cuenta|transfer", "ssn": r"(?i)ssn|social\s+security|taxpayer|tax\s+id"}
-AGAINST = {"iban": r"(?i)serial|part\s+n|sku|version", "ssn": r"(?i)order|invoice|part\s+n|isbn|phone|tel"}
+#: What a confirmed match of the kind scores by itself, and words before or behind it that speak for or against it.
+SCORES = {"email": 0.9, "ip": 0.8, "card": 0.8, "phone": 0.8, "iban": 0.8, "ssn": 0.4}
+FOR = {
+    "email": r"(?i)mail|contact|write\s+to|address", "ip": r"(?i)\bip\b|host|server|client|address", "card": r"(?i)card|visa|credit|debit|payment|expir|cvv",
+    "phone": r"(?i)phone|call|tel|mobile|fax|contact", "iban": r"(?i)iban|bank|account|konto|compte|cuenta|transfer", "ssn": r"(?i)ssn|social\s+security|taxpayer|tax\s+id",
+}
+AGAINST = {
+    "ip": r"(?i)version|release|section|build", "card": r"(?i)order|tracking|serial|part\s+n|isbn", "phone": r"(?i)serial|part\s+n|isbn",
+    "iban": r"(?i)serial|part\s+n|sku|version", "ssn": r"(?i)order|invoice|part\s+n|isbn|phone|tel",
+}
 STEP, NEARBY, THRESHOLD = 0.3, 48, 0.6
 
 
@@ -83,19 +90,18 @@ def confirmed(kind: str, x: Column) -> Column:
 
 def spans_of(kind: str, text: Column, found: Column) -> Column:
     """Confirmed matches as (kind, start, end, score); found are the kind's matches in text."""
-    gaps = F.split(text, PATTERNS[kind], -1)
-    # Places: a running sum over gap, match, gap, match, ...
-    run = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string,before:string>>").alias("all")),
-        lambda s, i: F.struct(
-            (s["at"] + F.length(F.element_at(gaps, i)) + F.length(F.element_at(found, i))).alias("at"),
-            F.concat(s["all"], F.array(F.struct((s["at"] + F.length(F.element_at(gaps, i))).alias("start"), F.element_at(found, i).alias("text"), F.right(F.element_at(gaps, i), F.lit(NEARBY)).alias("before")))).alias("all"),
-        ),
-        lambda s: s["all"],
-    )
-    near = lambda x, words: F.when(x["before"].rlike(words[kind]), STEP).otherwise(0.0) if kind in words else F.lit(0.0)
-    scored = F.transform(F.filter(run, lambda x: confirmed(kind, x["text"])), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), (F.lit(SCORES[kind]) + near(x, FOR) - near(x, AGAINST)).cast("double").alias("score")))
+
+    def placed(gaps: Column) -> Column:
+        # A match starts behind all gaps and matches before it and the gap before itself.
+        sizes = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda x, g: F.length(x) + F.length(g))
+        near = lambda g, h: F.struct(F.right(g, F.lit(NEARBY)).alias("before"), F.left(h, F.lit(NEARBY)).alias("behind"), F.length(g).alias("gap"))
+        around = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.slice(gaps, F.lit(2), F.size(found)), near)
+        starts = F.zip_with(offsets(sizes), around, lambda at, a: F.struct((at + a["gap"]).alias("start"), a["before"].alias("before"), a["behind"].alias("behind")))
+        return F.zip_with(starts, found, lambda a, x: F.struct(a["start"].alias("start"), x.alias("text"), a["before"].alias("before"), a["behind"].alias("behind")))
+
+    said = lambda x, words: F.when(x["before"].rlike(words[kind]) | x["behind"].rlike(words[kind]), STEP).otherwise(0.0) if kind in words else F.lit(0.0)
+    sure = F.filter(bound(F.split(text, PATTERNS[kind], -1), placed), lambda x: confirmed(kind, x["text"]))
+    scored = F.transform(sure, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), (F.lit(SCORES[kind]) + said(x, FOR) - said(x, AGAINST)).cast("double").alias("score")))
     return F.filter(scored, lambda x: F.lit(kind in BASE) | (x["score"] >= THRESHOLD))
 
 
@@ -105,8 +111,10 @@ NONE = "array<struct<kind:string,start:int,end:int,score:double>>"
 def find_pii(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id and spans (kind, start, end, score), by kind as listed, then start.
 
-    Places are code points of the whole text, ends exclusive. Null and empty texts have no spans. email, ip, card and phone are
-    always returned once confirmed; iban and ssn need THRESHOLD after the words within NEARBY characters before them are weighed.
+    Places are code points of the whole text, ends exclusive. Null and empty texts have no spans; texts of any length are read whole, and n matches cost n to the
+    power of 1.5. email, ip, card and phone are always returned once confirmed, with a score; iban and ssn need THRESHOLD after the words within NEARBY
+    characters before and behind them are weighed. Spans of different kinds may overlap; of one kind the leftmost stands. Repeated rows are judged each on their
+    own, an empty table gives an empty one, and other columns of docs, whatever their names, are not read.
     """
     return _with_spans(docs).drop("text")
 
