@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessel.llm.native import bound, offsets
+
 OPEN, CLOSE, END = "<|", "|>", "<|end|>\n"
 TRAINED = "assistant"
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
@@ -35,17 +37,14 @@ def render(turns: Column) -> Column:
 
 
 def loss_spans(turns: Column) -> Column:
-    """Spans of the rendered turns that belong to assistants: a running sum over the lengths of the turns."""
-    sized = F.transform(turns, lambda x: F.struct(F.length(_header(x)).alias("head"), F.length(_body(x)).alias("body"), F.coalesce(x["role"] == TRAINED, F.lit(False)).alias("own")))
-    run = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("at"), F.array().cast(MASK).alias("all")),
-        lambda s, x: F.struct(
-            (s["at"] + x["head"] + x["body"]).alias("at"),
-            F.when(x["own"], F.concat(s["all"], F.array(F.struct((s["at"] + x["head"]).alias("start"), (s["at"] + x["head"] + x["body"]).alias("end"))))).otherwise(s["all"]).alias("all"),
-        ),
-    )
-    return run["all"]
+    """Spans of the rendered turns that belong to assistants; a turn starts behind all turns before it."""
+
+    def spans(sized: Column) -> Column:
+        at = offsets(F.transform(sized, lambda x: x["head"] + x["body"]))
+        each = F.zip_with(at, sized, lambda s, x: F.struct((s + x["head"]).alias("start"), (s + x["head"] + x["body"]).alias("end"), x["own"].alias("own")))
+        return F.transform(F.filter(each, lambda x: x["own"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).cast(MASK)
+
+    return bound(F.transform(turns, lambda x: F.struct(F.length(_header(x)).alias("head"), F.length(_body(x)).alias("body"), F.coalesce(x["role"] == TRAINED, F.lit(False)).alias("own"))), spans)
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -80,44 +79,25 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 
 
 def preferences(conversations: DataFrame) -> DataFrame:
-    """Pairs made of a table of conversations: conversation 2n is chosen, and rejected is the same with the last turn of
-    conversation 2n + 1 in place of its own. Without a partner the rejected completion is empty.
+    """Pairs made of a table of conversations, a row for each conv_id: conversations 2n and 2n + 1 are partners, and each is chosen once. The rejected one
+    begins with the first half of the chosen turns (the smaller half) and goes on as the partner does behind so many turns; without a partner it ends there.
 
-    One row for each even conv_id: pair_id, n_common, prompt, chosen, chosen_mask, rejected, rejected_mask.
+    conv_id, pair_id, n_common, prompt, chosen, chosen_mask, rejected, rejected_mask. Turns of equal number are ordered by role and text, nulls first; repeated rows are turns
+    that are said twice. Null conv_ids are left out, an empty table gives an empty one, conversations and texts may be of any length, and other columns, whatever their names, are not read.
     """
-    return format_preferences(_pairs(conversations).where("chosen IS NOT NULL").select("pair_id", "chosen", _swapped().alias("rejected")))
-
-
-def every_preference(conversations: DataFrame) -> DataFrame:
-    """The same for every conversation as chosen, odd ones too, the other of its pair being the partner: one row for each conv_id,
-    with conv_id before the columns of preferences()."""
-    pairs = _pairs(conversations)
-    turned = pairs.select("pair_id", F.col("other").alias("chosen"), F.col("chosen").alias("other"))
-    own = lambda x, odd: x.withColumn("conv_id", F.col("pair_id") * 2 + odd)
-    both = own(pairs, 0).unionByName(own(turned, 1)).where("chosen IS NOT NULL")
-    return format_preferences(both.select("conv_id", "pair_id", "chosen", _swapped().alias("rejected")))
-
-
-def _pairs(conversations: DataFrame) -> DataFrame:
-    """(pair_id, chosen, other): the turns of the even and of the odd conversation, either null if absent."""
     pair = F.floor(F.col("conv_id") / F.lit(2)).cast("long")
     even = F.pmod("conv_id", F.lit(2)) == 0
-    return turns_of(conversations).groupBy(pair.alias("pair_id")).agg(F.max(F.when(even, F.col("turns"))).alias("chosen"), F.max(F.when(~even, F.col("turns"))).alias("other"))
-
-
-def _swapped() -> Column:
-    """chosen with the last turn of other in place of its own."""
-    start = F.slice("chosen", F.lit(1), F.greatest(F.size("chosen") - 1, F.lit(0)))
-    return F.when(F.col("other").isNull(), start).otherwise(F.concat(start, F.slice("other", F.size("other"), F.lit(1))))
+    pairs = turns_of(conversations).groupBy(pair.alias("pair_id")).agg(F.max(F.when(even, F.col("turns"))).alias("a"), F.max(F.when(~even, F.col("turns"))).alias("b"))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("odd"), F.col("a").alias("chosen"), F.col("b").alias("other")), F.struct(F.lit(1).alias("odd"), F.col("b").alias("chosen"), F.col("a").alias("other"))))
+    each = pairs.select("pair_id", sides.alias("s")).select((F.col("pair_id") * 2 + F.col("s.odd")).alias("conv_id"), "pair_id", "s.chosen", "s.other").where("chosen IS NOT NULL")
+    half = F.floor(F.size("chosen") / F.lit(2)).cast("int")
+    begun, rest = F.slice("chosen", F.lit(1), half), F.slice("other", half + 1, F.greatest(F.size("other") - half, F.lit(0)))
+    return format_preferences(each.select("conv_id", "pair_id", "chosen", F.when(F.col("other").isNull(), begun).otherwise(F.concat(begun, rest)).alias("rejected")))
 
 
 def preference_report(conversations: DataFrame) -> DataFrame:
     """The same with digests in place of the texts, and masks as start:end."""
-    return _report(preferences(conversations), "pair_id")
-
-
-def every_preference_report(conversations: DataFrame) -> DataFrame:
-    return _report(every_preference(conversations), "conv_id", "pair_id")
+    return _report(preferences(conversations), "conv_id", "pair_id")
 
 
 def _report(made: DataFrame, *keys: str) -> DataFrame:

@@ -69,12 +69,12 @@ _MASK = "coalesce(array_to_string(list_filter(list_transform({l}, lambda t, i: C
 
 PREFERENCES = f"""
 WITH c AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-p AS (SELECT a.conv_id // 2 AS pair_id, a.t AS chosen, CASE WHEN b.t IS NULL THEN a.t[1:len(a.t)-1] ELSE list_concat(a.t[1:len(a.t)-1], b.t[len(b.t):len(b.t)]) END AS rejected FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+p AS (SELECT a.conv_id, CAST(floor(a.conv_id / 2.0) AS BIGINT) AS pair_id, a.t AS chosen, CASE WHEN b.t IS NULL THEN a.t[1:len(a.t)//2] ELSE list_concat(a.t[1:len(a.t)//2], b.t[len(a.t)//2+1:]) END AS rejected FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id + CASE WHEN a.conv_id % 2 = 0 THEN 1 ELSE -1 END),
 n AS (SELECT *, coalesce(list_position(list_transform(range(1, 1 + least(len(chosen), len(rejected))), lambda i: chosen[i].role IS NOT DISTINCT FROM rejected[i].role AND chosen[i].text IS NOT DISTINCT FROM rejected[i].text), FALSE) - 1, least(len(chosen), len(rejected))) AS n_common FROM p),
-m AS (SELECT pair_id, CASE WHEN n_common < 0 THEN least(len(chosen), len(rejected)) ELSE n_common END AS n_common, chosen, rejected FROM n),
-k AS (SELECT pair_id, n_common, chosen[1:n_common] AS prompt, chosen[n_common+1:] AS c, rejected[n_common+1:] AS r FROM m),
+m AS (SELECT conv_id, pair_id, CASE WHEN n_common < 0 THEN least(len(chosen), len(rejected)) ELSE n_common END AS n_common, chosen, rejected FROM n),
+k AS (SELECT conv_id, pair_id, n_common, chosen[1:n_common] AS prompt, chosen[n_common+1:] AS c, rejected[n_common+1:] AS r FROM m),
 z AS (SELECT *, list_transform(c, lambda t: {_SIZE}) AS sizes_c, list_transform(r, lambda t: {_SIZE}) AS sizes_r FROM k)
-SELECT pair_id, CAST(n_common AS BIGINT) AS n_common, sha256({_RENDER.format(l="prompt")}) AS prompt_sha256, sha256({_RENDER.format(l="c")}) AS chosen_sha256, sha256({_RENDER.format(l="r")}) AS rejected_sha256,
+SELECT conv_id, pair_id, CAST(n_common AS BIGINT) AS n_common, sha256({_RENDER.format(l="prompt")}) AS prompt_sha256, sha256({_RENDER.format(l="c")}) AS chosen_sha256, sha256({_RENDER.format(l="r")}) AS rejected_sha256,
 {_MASK.format(l="c", s="c")} AS chosen_mask, {_MASK.format(l="r", s="r")} AS rejected_mask FROM z
 """
 

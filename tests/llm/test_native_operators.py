@@ -90,14 +90,19 @@ def test_preferences(spark):
     table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("prompt", F.lit("clash"))
     made = preference.preferences(table)
     assert not re.search("Python|Arrow|Pandas", plan(made))
-    got = {r["pair_id"]: r for r in made.collect()}
-    assert sorted(got) == [0, 1]
+    got = {r["conv_id"]: r for r in made.collect()}
+    assert sorted(got) == [0, 1, 2, 3] and [got[i]["pair_id"] for i in range(4)] == [0, 0, 1, 1]
     r = got[0]
     assert r["n_common"] == 1 and r["prompt"] == "<|user|>\nhi<|end|>\n"
     assert r["chosen"] == "<|assistant|>\n< |user|>yes<|end|>\n" and r["rejected"] == "<|assistant|>\nno<|end|>\n"
     assert [r["chosen"][m["start"] : m["end"]] for m in r["chosen_mask"]] == ["< |user|>yes<|end|>\n"]
-    assert got[1]["chosen"] == "<|assistant|>\n<|end|>\n" and got[1]["rejected"] == "<||>\n<|end|>\n" and got[1]["rejected_mask"] == []
+    assert got[1]["chosen"] == r["rejected"] and got[1]["rejected"] == r["chosen"] and got[1]["prompt"] == "<|user|>\nother<|end|>\n"
+    # Conversation 3 has one turn, so 2 is rejected behind its first; 3 shares nothing with 2.
+    assert got[2]["chosen"] == "<|assistant|>\n<|end|>\n" and got[2]["rejected"] == "" and got[2]["rejected_mask"] == []
+    assert got[3]["n_common"] == 0 and got[3]["chosen"] == "<||>\n<|end|>\n" and got[3]["rejected"].startswith("<|user|>\nalone")
     assert preference.preference_report(table.limit(0)).count() == 0
+    twice = {r["conv_id"]: r for r in preference.preferences(table.union(table)).collect()}
+    assert sorted(twice) == [0, 1, 2, 3] and twice[0]["prompt"] == "<|user|>\nhi<|end|>\n" * 2
 
 
 def test_one_side_is_the_beginning_of_the_other(spark):
@@ -105,3 +110,21 @@ def test_one_side_is_the_beginning_of_the_other(spark):
     table = spark.createDataFrame(row, f"id long, chosen {preference.TURNS}, rejected {preference.TURNS}")
     a, b = preference.format_preferences(table).orderBy("id").collect()
     assert a["n_common"] == 1 and a["rejected"] == "" and a["rejected_mask"] == [] and b["n_common"] == 0 and b["prompt"] == ""
+
+
+def test_running_sums(spark):
+    from tessel.llm.native import offsets
+
+    rows = [(list(range(n)),) for n in (0, 1, 2, 5, 17, 100)] + [(None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x array<int>").select(offsets(F.col("x"))).collect()]
+    assert got == [[sum(x[0][:i]) for i in range(len(x[0]))] for x in rows[:-1]] + [[]]
+
+
+def test_long_texts_and_many_turns(spark):
+    """Tens of thousands of matches, or turns, in one row: places grow by less than the square of their number."""
+    text = "a@b.co 1.2.3.4 " * 20000
+    r = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert len(r["spans"]) == 40000 and r["spans"][39999]["start"] == len(text) - 8 and r["spans"][19999]["end"] == len(text) - 9
+    turns = [(0, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(6000)]
+    r = preference.preferences(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()[0]
+    assert r["n_common"] == 3000 and len(r["chosen_mask"]) == 1500 and r["chosen"][r["chosen_mask"][-1]["start"] :] == "t5999<|end|>\n"
