@@ -121,7 +121,7 @@ def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, bl
 
     Stars first. The candidates of buckets of three and more, confirmed or not, tie documents into clusters; a cluster that the confirmed ones leave in
     several components is settled exactly: each member outside its largest component (a guest) is compared with all members
-    of other components. Members are dealt into blocks and a guest meets a block as one row, so no pair is ever a row unless it is a link.
+    of other components. Members are dealt into blocks and a guest goes once to each block, so no pair is ever a row unless it is a link.
     """
     star = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m"))
     # A bucket of two is settled by its one candidate; only larger ones can hide a link, and tie their members into a cluster.
@@ -142,15 +142,13 @@ def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, bl
     counts = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.ceil(F.sum("n") / F.lit(block)).alias("blocks"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
     rows = cut(rows.join(mixed, "cluster").join(sets.select(F.col("doc_id").alias("node"), "set"), "node"))
-    dealt = rows.withColumn("turn", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.groupBy("cluster", "turn").agg(F.collect_list(F.struct("node", "component", "set")).alias("block"))
-    guests = rows.where("component <> home").select("cluster", F.col("node").alias("a"), F.col("component").alias("own"), F.col("set").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("turn"))
-
-    def near(m):
-        most, least = F.greatest(F.size("mine"), F.size(m["set"])), F.least(F.size("mine"), F.size(m["set"]))
-        return (m["component"] != F.col("own")) & (percent * most <= 100 * least) & ((100 + percent) * F.size(F.array_intersect("mine", m["set"])) >= percent * (most + least))
-
-    found = guests.join(dealt, ["cluster", "turn"]).select("own", F.explode(F.transform(F.filter("block", near), lambda m: m["node"])).alias("b"))
+    dealt = rows.select("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("turn"), F.col("node").alias("b"), F.col("component").alias("theirs"), F.col("set").alias("set_b"))
+    guests = rows.where("component <> home").select("cluster", F.col("component").alias("own"), F.col("set").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("turn"))
+    # Similarity is a condition of the join itself: it is computed in generated code, and only links leave the join.
+    most, least = F.greatest(F.size("mine"), F.size("set_b")), F.least(F.size("mine"), F.size("set_b"))
+    alike = (percent * most <= 100 * least) & ((100 + percent) * F.size(F.array_intersect("mine", "set_b")) >= percent * (most + least))
+    left, right = guests.alias("l"), dealt.alias("r")
+    found = left.join(right, (F.col("l.cluster") == F.col("r.cluster")) & (F.col("l.turn") == F.col("r.turn")) & (F.col("own") != F.col("theirs")) & alike).select("own", "b").distinct()
     # What is left to join are whole components, by the least node of each.
     ends = found.join(parts.select(F.col("node").alias("b"), F.col("component").alias("other")), "b", "left")
     merged = cut(components(ends.select(F.col("own").alias("a"), F.coalesce("other", "b").alias("b"))))
