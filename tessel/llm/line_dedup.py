@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessel.llm.components import components  # noqa: F401  (the union-find that link() uses)
 from tessel.llm.native import bound
 from tessel.llm.near_dup import link
-from tessel.llm.shared import cut, id_and_text, release
+from tessel.llm.shared import cut, id_and_text, own, release
 
 WIDTH, BANDS, ROWS = 12, 10, 4
 #: With FEW distinct shingles that start words or more, these make keys; with fewer than MANY, all shingles do.
@@ -159,4 +159,4 @@ def without_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "t
     judged = F.col(key).isNotNull() & (F.size(numbers) > 0)
     if drop_emptied:
         both = both.where(~F.coalesce(judged & F.col("_tessel_kept").isNull(), F.lit(False)))
-    return both.withColumn(text, F.when(F.coalesce(judged & (F.size(gone) > 0), F.lit(False)), bound(parts, left)).otherwise(F.col(text))).select(*docs.columns)
+    return both.withColumn(text, F.when(F.coalesce(judged & (F.size(gone) > 0), F.lit(False)), bound(parts, left)).otherwise(F.col(text))).select(*own(docs))

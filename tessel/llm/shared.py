@@ -117,13 +117,15 @@ def append(docs: DataFrame, block_fn, fields: list[T.StructField], text: str = "
     from tessel.llm.text import blocks
 
     tune(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, *fields])
-    names = schema.fieldNames()
+    # Between the JVM and Python columns go by plain names, as a name may hold a dot.
+    names, n = [*docs.columns, *(f.name for f in fields)], len(docs.columns)
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*docs.schema.fields, *fields])])
 
     def run(batches):
         import pyarrow as pa
 
-        for block in blocks(batches, text):
-            yield pa.RecordBatch.from_arrays([*block.columns, *block_fn(block)], names=names)
+        whole = (pa.RecordBatch.from_arrays(b.columns, names=names[:n]) for b in batches)
+        for block in blocks(whole, text):
+            yield pa.RecordBatch.from_arrays([*block.columns, *block_fn(block)], names=schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*schema.fieldNames()[:n]).mapInArrow(run, schema).toDF(*names)
