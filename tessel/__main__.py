@@ -1,4 +1,4 @@
-"""python -m tessel search DB QUERIES.jsonl | evaluate CORPUS.jsonl QUERIES.jsonl NEW_DB [BATCH] | show RESULT.json|- [--markdown [PATH]] | prepare ..."""
+"""python -m tessel search DB QUERIES.jsonl | evaluate CORPUS.jsonl QUERIES.jsonl NEW_DB [BATCH] | show RESULT.json|- [--markdown [PATH]] | prepare ... | benchmark NEW_DB [ROWS DIM QUERIES BATCH]"""
 
 from __future__ import annotations
 
@@ -39,6 +39,10 @@ def main(args: list[str]) -> int:
             sub.add_argument("--markdown", nargs="?", const="", default=None)
         if name == "evaluate":
             sub.add_argument("batch", nargs="?", type=int, default=64)
+    sub = kinds.add_parser("benchmark")
+    sub.add_argument("db")
+    for n, value in (("rows", 1000), ("dim", 32), ("queries", 20), ("batch", 128)):
+        sub.add_argument(n, nargs="?", type=int, default=value)
     prepare.arguments(kinds.add_parser("prepare", help="Markdown notes and questions into files for evaluate"))
     asked = parser.parse_args(args)
     try:
@@ -52,6 +56,10 @@ def main(args: list[str]) -> int:
         spark = SparkSession.builder.appName("tessel").getOrCreate()
         if asked.command == "search":
             print(json.dumps(evaluation.search_file(spark, asked.db, asked.queries), ensure_ascii=False))
+        elif asked.command == "benchmark":
+            from tessel import benchmark
+
+            print(json.dumps(benchmark.run(spark, asked.db, asked.rows, asked.dim, asked.queries, asked.batch)))
         elif asked.command == "prepare":
             print(json.dumps(prepare.run(spark, asked), ensure_ascii=False))
         else:

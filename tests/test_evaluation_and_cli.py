@@ -83,3 +83,14 @@ def test_prepare_then_evaluate(spark, tmp_path, monkeypatch, capsys):
     db = str(tmp_path / "db")
     report = evaluation.evaluate(spark, f"file://{tmp_path}/out/corpus.jsonl", f"file://{tmp_path}/out/search-queries.jsonl", db, batch=3, rounds=1)
     assert report["model"] == "hashing-384" and report["note_lifecycle"] and report["labelled_queries"] == 0 and report["initial_chunks"] + report["incremental_chunks"] == report["chunks"]
+
+
+def test_benchmark(spark, tmp_path):
+    from tessel import benchmark
+
+    draw = benchmark.numbers()
+    assert all(-1 <= next(draw) < 1 for _ in range(1000))
+    got = benchmark.run(spark, str(tmp_path / "db"), 60, 4, 2, 16)
+    assert got["recall_at_10"] == got["mixed_recall_at_10"] == 1.0 and got["bytes"] > 0 and got["mixed"]["p50_ms"] <= got["mixed"]["p95_ms"]
+    with pytest.raises(InvalidInput):
+        benchmark.run(spark, str(tmp_path / "db"), 60, 4, 2, 16)
