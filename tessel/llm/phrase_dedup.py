@@ -30,7 +30,7 @@ from tessel.llm.text import Grams, U, blocks, covered, doc_of, hashed, inside, m
 
 PHRASE = 7
 #: Phrases in a shard, on average, and fingerprints (one for eight words) of the documents that visit one copy of it.
-SHARD, VISIT = 20_000, 1_000_000
+SHARD, VISIT = 20_000, 200_000
 LONG = T.LongType()
 
 
