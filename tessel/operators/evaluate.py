@@ -47,13 +47,19 @@ def nearest_rank(x: str | Column, p: float) -> Column:
 def nearest_ranks(rows: DataFrame, by: str, value: str, ps: dict[str, float], groups: int = 1024) -> DataFrame:
     """(by, *names): for each group and each name's p the value at place round((n - 1) * p), half away from zero, of the group's sorted values; nulls aren't counted.
 
-    No group is held in one place: equal values are counted first, a group's distinct values are cut into about ``groups`` ranges by approximate percentiles, the
-    ranges' counts are summed up, and only the range in which a place falls is ranked.
+    No group is held in one place: equal values are counted first, a group's distinct values are cut into about ``groups`` ranges, the ranges' counts are summed up, and only
+    the range in which a place falls is ranked. The cuts are the values of the least hashes: the plan reads them twice, so they must not depend on the order in which rows come,
+    as those of an approximate percentile do.
     """
     counted = rows.select(F.col(by).alias("g"), F.col(value).alias("v")).where("v IS NOT NULL").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    cuts = counted.groupBy(F.col("g").alias("cut_g")).agg(F.percentile_approx("v", [i / groups for i in range(1, groups)], 10 * groups).alias("cuts"), F.sum("n").alias("all"))
-    # A value's range is the number of cuts below it.
-    placed = counted.join(cuts, F.col("g").eqNullSafe(F.col("cut_g"))).select("g", "v", "n", "all", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("v"))).alias("range"))
+    sample = counted.withColumn("_n", F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("v"), "v"))).where(F.col("_n") < groups)
+    cuts = sample.groupBy(F.col("g").alias("cut_g")).agg(F.sort_array(F.collect_list("v")).alias("cuts"))
+    sizes = counted.groupBy(F.col("g").alias("all_g")).agg(F.sum("n").alias("all"))
+    cuts = cuts.join(sizes, F.col("cut_g").eqNullSafe(F.col("all_g"))).drop("all_g")
+    # A value's range is the number of cuts below it, by bisection.
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(groups.bit_length()))))
+    below = F.aggregate(steps, F.lit(0), lambda at, x: F.when(F.try_element_at("cuts", at + x) < F.col("v"), at + x).otherwise(at))
+    placed = counted.join(cuts, F.col("g").eqNullSafe(F.col("cut_g"))).select("g", "v", "n", "all", below.alias("range"))
     sums = placed.groupBy("g", "range", "all").agg(F.sum("n").alias("sum"))
     sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(W.partitionBy("g").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     places = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), (F.round((F.col("all") - 1) * p) + 1).cast("long").alias("place")) for k, p in ps.items())))

@@ -89,3 +89,19 @@ def test_documents_skip_hits_without_a_source(spark):
     hits = spark.createDataFrame([(0, i, 0.5, i + 1) for i in range(6)], "qid bigint, id bigint, score float, rank int")
     meta = spark.createDataFrame([(0, "null"), (1, '{"source":1}'), (2, '{"source":"a","text":"x"}'), (3, '{"source":"a"}'), (4, '{"source":"b"}'), (5, None)], "id bigint, metadata string")
     assert [(r["position"], r["source"]) for r in evaluate.documents(hits, meta).orderBy("position").collect()] == [(1, "a"), (2, "b")]
+
+
+def test_ranks_do_not_depend_on_the_order_of_rows(spark):
+    # Each reading of the rows comes in another order, as from several executors.
+    def shuffled(batches):
+        import numpy as np
+
+        for b in batches:
+            yield b.sample(frac=1, random_state=np.random.default_rng())
+
+    values = spark.range(150_000, numPartitions=3).selectExpr("CAST(id % 2 AS STRING) AS g", "(id * 7919 % 150001) / 16 AS v").mapInPandas(shuffled, "g string, v double")
+    plan = evaluate.nearest_ranks(values, "g", "v", {"p50": 0.5}, groups=64)
+    for g, p50 in (sorted(tuple(r) for r in plan.collect())):
+        want = sorted((i * 7919 % 150001) / 16 for i in range(int(g), 150_000, 2))
+        assert p50 == want[37_500]
+    assert "percentile_approx" not in plan._jdf.queryExecution().executedPlan().toString()
