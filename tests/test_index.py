@@ -158,3 +158,49 @@ def test_best_of_ties_goes_by_id():
     ids = np.array([9, 8, 7, 3, 1])
     assert ids[best_of(scores, ids, 3, Metric.EUCLIDEAN)].tolist() == [[7, 8, 3], [1, 3, 7]]
     assert ids[best_of(scores, ids, 9, Metric.DOT_PRODUCT)].tolist() == [[1, 3, 9, 7, 8], [1, 3, 7, 8, 9]]
+
+
+def spread_out(n, dim=8):
+    """Vectors of very different lengths, and copies: lists cut to the nearest leave some without an incoming link."""
+    draw = np.random.default_rng(3)
+    made = draw.normal(size=(n, dim)) * (1 + np.arange(n) % 7)[:, None]
+    made[n // 2 : n // 2 + 80] = made[0]
+    return made.astype(np.float32)
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_wide_beams_leave_nothing_out(metric):
+    from tessel.operators.hnsw import M, M_BOTTOM, Frozen
+
+    rows = spread_out(1500)
+    first = index.grown(metric, 8, np.flatnonzero(np.arange(1500) % 4 > 0).tolist(), rows[np.arange(1500) % 4 > 0])
+    graph = index.grown(metric, 8, range(0, 1500, 4), rows[::4], first)
+    parts = graph.packed()
+    frozen = Frozen(metric, parts["ids"], parts["vectors"].reshape(-1, 8), parts["levels"], parts["counts"], parts["links"])
+    assert frozen.reached().all() and frozen.faults() == 0
+    assert all(len(x) <= (M if layer else M_BOTTOM) for layers in graph.links for layer, x in enumerate(layers))
+    dead = np.isin(frozen.ids, range(0, 1500, 11))
+    q, ids, _ = frozen.search(rows[::50], 10, 1_000_000, dead)
+    for i, x in enumerate(rows[::50]):
+        assert ids[q == i].tolist() == truth(metric, [(j, v) for j, v in enumerate(rows) if j % 11], x, 10)
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_nearest_beyond_the_error_of_products(metric):
+    draw = np.random.default_rng(4)
+    far = np.float32(1000 + draw.normal(size=(300, 8)) / 1000)
+    rows = np.concatenate([far, far[:40], np.zeros((2, 8), np.float32)])
+    ids = draw.permutation(len(rows))
+    for k in (1, 10, 400):
+        q, place, score = metric.nearest(rows[:20], rows, ids, k, scores=5000)
+        for i in range(20):
+            want = metric.paired(np.repeat(rows[i : i + 1], len(rows), axis=0), rows)
+            order = np.lexsort((ids, metric.rank(want)))[:k]
+            assert place[q == i].tolist() == order.tolist() and score[q == i].tolist() == want[order].tolist()
+
+
+def test_recall_of_rows_inserted_at_once():
+    rows = np.random.default_rng(5).normal(size=(3000, 16)).astype(np.float32)
+    graph = index.grown(Metric.COSINE, 16, range(3000), rows)
+    hit = sum(len({i for i, _ in graph.search(q, 10, 64)} & set(truth(Metric.COSINE, list(enumerate(rows)), q, 10))) for q in rows[::100])
+    assert hit >= 285 and graph.levels == [level_of(i) for i in range(3000)]
