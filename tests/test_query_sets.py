@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessel.functions.metrics import Metric
 from tessel.operators import index
@@ -39,3 +40,21 @@ def test_blocks_of_queries(spark, sf_dir):
 def test_pairwise_metrics_of_the_stated_rows_with_all(spark, sf_dir):
     got = [(r["a"], r["b"]) for r in QUERIES["pairwise_metrics_all"](spark, sf_dir).select("a", "b").collect()]
     assert sorted(got) == [(a, b) for a in range(0, 130, 20) for b in range(130)]
+
+
+def test_many_queries_and_all_pairs_go_by_blocks(spark, sf_dir):
+    from tessel.operators import exact
+
+    plan = lambda df: df._jdf.queryExecution().toString()
+    rows = embeddings(spark, sf_dir)
+    queries = rows.selectExpr("id AS qid", "vector AS query")
+    few, many = (exact.knn_join(queries.where(f"qid < {n}"), rows, 3, Metric.EUCLIDEAN) for n in (9, 130))
+    assert "MapInArrow" not in plan(few) and "MapInArrow" in plan(many)
+    assert hits(many)[:27] == hits(few)
+    got = QUERIES["pairwise_metrics_all"](spark, sf_dir)
+    assert "MapInArrow" in plan(got)
+    for m in Metric:
+        want = rows.where("id % 20 = 0").selectExpr("id AS a", "vector AS x").crossJoin(rows.selectExpr("id AS b", "vector AS y")).withColumn("s", m.score(F.col("x"), F.col("y")))
+        scores = {(r["a"], r["b"]): r["s"] for r in want.select("a", "b", "s").collect()}
+        found = {(r["a"], r["b"]): r[m.value] for r in exact.pairwise_scores(rows.where("id % 20 = 0"), rows, [m]).collect()}
+        assert found == scores
