@@ -204,3 +204,21 @@ def test_recall_of_rows_inserted_at_once():
     graph = index.grown(Metric.COSINE, 16, range(3000), rows)
     hit = sum(len({i for i, _ in graph.search(q, 10, 64)} & set(truth(Metric.COSINE, list(enumerate(rows)), q, 10))) for q in rows[::100])
     assert hit >= 285 and graph.levels == [level_of(i) for i in range(3000)]
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_diverse_lists_are_those_of_single_rows_and_done_when_full(metric, monkeypatch):
+    from tessel.operators import hnsw
+
+    rows = np.random.default_rng(6).normal(size=(700, 32))
+    rows[300:400] = rows[0] + rows[300:400] / 1000
+    graph = index.grown(metric, 32, range(700), rows.astype(np.float32))
+    some = np.random.default_rng(7).permutation(700)[:12]
+    d = graph.between(some, np.arange(700))
+    near = np.argsort(d, axis=1, kind="stable")[:, :300]
+    near[-1, 45:], d = -1, np.take_along_axis(d, near, axis=1)
+    want = [graph.diverse([(x, n) for x, n in zip(a.tolist(), b.tolist(), strict=True) if n >= 0], 16) for a, b in zip(d, near, strict=True)]
+    scored, between = [], Graph.between
+    monkeypatch.setattr(Graph, "between", lambda self, a, b: scored.append(out := between(self, a, b)) or out)
+    assert [[x for x in row if x >= 0] for row in graph.diverse_many(near, d, 16).tolist()] == want
+    assert sum(x.size for x in scored) <= len(near) * 300 * (hnsw.RUN + 16) < near.size * 300
