@@ -222,3 +222,15 @@ def test_diverse_lists_are_those_of_single_rows_and_done_when_full(metric, monke
     monkeypatch.setattr(Graph, "between", lambda self, a, b: scored.append(out := between(self, a, b)) or out)
     assert [[x for x in row if x >= 0] for row in graph.diverse_many(near, d, 16).tolist()] == want
     assert sum(x.size for x in scored) <= len(near) * 300 * (hnsw.RUN + 16) < near.size * 300
+
+
+def test_rows_of_other_graphs_are_found(spark):
+    rows = np.random.default_rng(8).normal(size=(4000, 64)).astype(np.float32)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "id long, vector array<float>")
+    nodes = index.build(table, Metric.COSINE, 64, 4).cache()
+    asked = table.where("id % 20 = 0").selectExpr("id AS qid", "vector AS query")
+    q, place, _ = Metric.COSINE.nearest(rows[::20], rows, np.arange(4000), 10)
+    want = {(int(a) * 20, int(b)) for a, b in zip(q, place, strict=True)}
+    share = [len(want & {(r["qid"], r["id"]) for r in index.search_table(nodes, asked, 10, 16, Metric.COSINE, 64, among=n).collect()}) / len(want) for n in (1, 4)]
+    assert share[0] < 0.98 < share[1]
+    nodes.unpersist()
