@@ -25,6 +25,8 @@ SAMPLE = 20_000
 #: Bytes of text that they hold at most: what the driver gets of them is a few numbers for a word.
 SAMPLE_BYTES = 32 << 20
 BITS = 18
+#: Features that a step of training takes at once.
+RUN = 1 << 18
 PREFIXES = (5, 6, 7, 8)
 FOLDS = 5
 #: A sentence ends at . ! ? or a line break; what else is ASCII and no letter or digit parts words.
@@ -66,12 +68,21 @@ def slope(w: np.ndarray, b: float, own: np.ndarray, at: np.ndarray, some: np.nda
 
     own and at are a feature and its sentence, some tells which sentences have words, doc is the document of each sentence.
     """
-    n = len(y)
-    z = np.clip(np.bincount(at, weights=w[own], minlength=len(some)) + b, -60, 60)
+    n, runs = len(y), [slice(i, i + RUN) for i in range(0, len(own), RUN)]
+    z = np.zeros(len(some))
+    for r in runs:
+        # A run's sentences follow one another, so its sums are short.
+        low = int(at[r].min())
+        sums = np.bincount(at[r] - low, weights=w[own[r]])
+        z[low : low + len(sums)] += sums
+    z = np.clip(z + b, -60, 60, out=z)
     a = np.maximum(np.bincount(doc, weights=np.log1p(np.exp(z)) * some, minlength=n), 1e-9)
     loss = float(((1 - y) * a - y * np.log(-np.expm1(-a))).mean() + decay * (w @ w) / 2)
     g = (some / (1 + np.exp(-z))) * ((1 - y) - y / np.expm1(np.minimum(a, 500)))[doc] / n
-    return loss, np.append(np.bincount(own, weights=g[at], minlength=len(w)) + decay * w, g.sum())
+    grad = decay * w
+    for r in runs:
+        grad += np.bincount(own[r], weights=g[at[r]], minlength=len(w))
+    return loss, np.append(grad, g.sum())
 
 
 def fit(features: np.ndarray, owner: np.ndarray, some: np.ndarray, docs: np.ndarray, labels: np.ndarray, use: np.ndarray, *, rounds: int = 120, rate: float = 0.15, decay: float = 5e-5) -> Model:
