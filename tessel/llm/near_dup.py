@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,10 @@ from tessel.llm.shared import append, cut, id_and_text, release, with_first
 from tessel.llm.text import LOWER, Grams, U, doc_of, hashed, inside, mix, pair, per_doc, raw, split, starts_of
 
 BINS, ROWS = 128, 4
-#: Members of a cluster in a block, on average.
-BLOCK = 32
+#: Members of a cluster in a block, on average; and of a bucket, and guests in one.
+BLOCK, BUCKET_BLOCK = 32, 256
+#: Longs of 64 bits that stand for a set.
+MASKS = 4
 
 LONG = T.LongType()
 
@@ -113,7 +115,19 @@ def confirmed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return both.where((100 + percent) * F.size(F.array_intersect("set_a", "set_b")) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
 
 
-def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, block: int = BLOCK, by_bucket: bool = False) -> DataFrame:
+def masked(sets: Column) -> Column:
+    """A set (array of ints) as MASKS longs: an element is one bit, by its lowest bits."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))
+    word = lambda i: F.aggregate(sets, F.lit(0).cast("long"), lambda m, x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(MASKS - 1)) == i, m.bitwiseOR(bit(x))).otherwise(m))
+    return F.array(*map(word, range(MASKS)))
+
+
+def only_in(a: Column, b: Column) -> Column:
+    """At least so many elements of a set are not in another one, by their masks: a bit that only one has stands for an element that only it has."""
+    return sum((F.bit_count(a[i].bitwiseAND(F.bitwise_not(b[i]))) for i in range(1, MASKS)), F.bit_count(a[0].bitwiseAND(F.bitwise_not(b[0]))))
+
+
+def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, block: int | None = None, by_bucket: bool = False) -> DataFrame:
     """(node, component) from bucket members (key, doc_id), their sets (doc_id, n, set) with sizes, and known links (a, b).
 
     With ``by_bucket``, every bucket of three and more is a cluster of its own: where bucket keys are loose, as those of lines, chains
@@ -121,8 +135,11 @@ def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, bl
 
     Stars first. The candidates of buckets of three and more, confirmed or not, tie documents into clusters; a cluster that the confirmed ones leave in
     several components is settled exactly: each member outside its largest component (a guest) is compared with all members
-    of other components. Members are dealt into blocks and a guest goes once to each block, so no pair is ever a row unless it is a link.
+    of other components. Members are dealt into blocks and a guest goes once to each block, so no pair is ever a row unless it is a link. Guests of a bucket are
+    dealt into blocks too, which members go to: rows grow with guests times members over the size of a block, and what a task compares is bounded.
+    Sets of buckets (ints) have masks, whose bits rule most pairs out before the sets are met.
     """
+    block = block or (BUCKET_BLOCK if by_bucket else BLOCK)
     star = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m"))
     # A bucket of two is settled by its one candidate; only larger ones can hide a link, and tie their members into a cluster.
     pairs = members.join(star, "key").where("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg((F.max("m") > 2).alias("tie"))
@@ -140,15 +157,23 @@ def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, bl
     parts = both.where("g = 0").drop("g")
     rows = clusters.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.ceil(F.sum("n") / F.lit(block)).alias("blocks"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    rows = cut(rows.join(mixed, "cluster").join(sets.select(F.col("doc_id").alias("node"), "set"), "node"))
-    dealt = rows.select("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("turn"), F.col("node").alias("b"), F.col("component").alias("theirs"), F.col("set").alias("set_b"))
-    guests = rows.where("component <> home").select("cluster", F.col("component").alias("own"), F.col("set").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("turn"))
+    guests = F.sum("n") - F.max("n") if by_bucket else F.lit(1)
+    mixed = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("home"), *(F.ceil(x / F.lit(block)).alias(c) for c, x in (("blocks", F.sum("n")), ("sides", guests))), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    rows = rows.join(mixed, "cluster").join(sets.select(F.col("doc_id").alias("node"), "set", (masked(F.col("set")) if by_bucket else F.lit(None)).alias("mask")), "node")
+    rows = cut(rows.withColumn("mask", F.col("mask").cast("array<bigint>")))
+    part, each = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = rows.select("cluster", part("blocks", 0).alias("turn"), each("sides").alias("side"), F.col("node").alias("b"), F.col("component").alias("theirs"), F.col("set").alias("set_b"), F.col("mask").alias("mask_b"))
+    guests = rows.where("component <> home").select("cluster", part("sides", 1).alias("side"), F.col("component").alias("own"), F.col("set").alias("mine"), F.col("mask").alias("mask_a"), each("blocks").alias("turn"))
     # Similarity is a condition of the join itself: it is computed in generated code, and only links leave the join.
     most, least = F.greatest(F.size("mine"), F.size("set_b")), F.least(F.size("mine"), F.size("set_b"))
-    alike = (percent * most <= 100 * least) & ((100 + percent) * F.size(F.array_intersect("mine", "set_b")) >= percent * (most + least))
+    enough = lambda common: (100 + percent) * common >= percent * (most + least)
+    alike = percent * most <= 100 * least
+    if by_bucket:
+        alike = alike & enough(F.size("mine") - only_in(F.col("mask_a"), F.col("mask_b"))) & enough(F.size("set_b") - only_in(F.col("mask_b"), F.col("mask_a")))
+    alike = alike & enough(F.size(F.array_intersect("mine", "set_b")))
     left, right = guests.alias("l"), dealt.alias("r")
-    found = left.join(right, (F.col("l.cluster") == F.col("r.cluster")) & (F.col("l.turn") == F.col("r.turn")) & (F.col("own") != F.col("theirs")) & alike).select("own", "b").distinct()
+    met = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("cluster", "turn", "side")]
+    found = left.join(right, met[0] & met[1] & met[2] & (F.col("own") != F.col("theirs")) & alike).select("own", "b").distinct()
     # What is left to join are whole components, by the least node of each.
     ends = found.join(parts.select(F.col("node").alias("b"), F.col("component").alias("other")), "b", "left")
     merged = cut(components(ends.select(F.col("own").alias("a"), F.coalesce("other", "b").alias("b"))))
