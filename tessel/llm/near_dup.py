@@ -26,6 +26,8 @@ from tessel.llm.text import LOWER, Grams, U, doc_of, hashed, inside, mix, pair,
 BINS, ROWS = 128, 4
 #: Members of a cluster in a block, on average; and of a bucket, and guests in one.
 BLOCK, BUCKET_BLOCK = 32, 256
+#: In the first round a guest of a bucket meets so many members, in each further one so many times more.
+SAMPLE = 16
 #: Longs of 64 bits that stand for a set.
 MASKS = 4
 
@@ -138,6 +140,10 @@ def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, bl
     of other components. Members are dealt into blocks and a guest goes once to each block, so no pair is ever a row unless it is a link. Guests of a bucket are
     dealt into blocks too, which members go to: rows grow with guests times members over the size of a block, and what a task compares is bounded.
     Sets of buckets (ints) have masks, whose bits rule most pairs out before the sets are met.
+
+    Of buckets links would be rows by the square of a group of near copies. So buckets are settled in rounds: a guest meets a few members (dealt
+    apart from guests, so that who meets whom is as good as chance), what is linked becomes one component, and the next round's guests meet SAMPLE times as many.
+    Few links then lead out of a component that a round has left, and a bucket is done with the round in which each guest has met all members.
     """
     block = block or (BUCKET_BLOCK if by_bucket else BLOCK)
     star = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m"))
@@ -156,31 +162,57 @@ def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, bl
         clusters = both.where("g = 1").select("node", F.col("component").alias("cluster"))
     parts = both.where("g = 0").drop("g")
     rows = clusters.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    shapes = sets.select(F.col("doc_id").alias("node"), "set", (masked(F.col("set")) if by_bucket else F.lit(None)).cast("array<bigint>").alias("mask"))
+    # What is left to join are whole components, by the least node of each.
+    merged, reach, seed = None, SAMPLE if by_bucket else None, 2
+    while True:
+        wide = cut(in_blocks(rows, block, reach).join(shapes, "node"))
+        most = wide.agg(F.max("n")).first()[0]
+        if most is None and merged is not None:
+            release(wide)
+            break
+        found = meet(wide, percent, seed, masks=by_bucket).distinct()
+        last, merged = merged, cut(components((found if merged is None else found.union(merged)).toDF("a", "b")).toDF("component", "above"))
+        if not reach or (most or 0) <= reach:
+            release(wide, *([last] if last else []))
+            break
+        rows = wide.where(F.col("n") > reach).select("cluster", "node", "component").join(merged, "component", "left")
+        rows = cut(rows.select("cluster", "node", F.coalesce("above", "component").alias("component")))
+        release(wide, *([last] if last else []))
+        reach, seed = reach * SAMPLE, seed + 1
+    out = cut(parts.join(merged, "component", "left").select("node", F.coalesce("above", "component").alias("component")).union(merged.select("component", "above")).distinct())
+    release(pairs, linked, both, merged)
+    return out
+
+
+def in_blocks(rows: DataFrame, block: int, reach: int | None) -> DataFrame:
+    """rows (cluster, node, component) of the clusters of several components, with the largest one (home), their members (n), the blocks they are dealt into (of),
+    how many of these a guest goes to (blocks: all, or those that hold ``reach`` members), and the blocks of a block's guests (sides)."""
+    size = min(block, reach or block)
     counts = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    guests = F.sum("n") - F.max("n") if by_bucket else F.lit(1)
-    mixed = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("home"), *(F.ceil(x / F.lit(block)).alias(c) for c, x in (("blocks", F.sum("n")), ("sides", guests))), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    rows = rows.join(mixed, "cluster").join(sets.select(F.col("doc_id").alias("node"), "set", (masked(F.col("set")) if by_bucket else F.lit(None)).alias("mask")), "node")
-    rows = cut(rows.withColumn("mask", F.col("mask").cast("array<bigint>")))
+    mixed = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = mixed.select("cluster", "home", F.col("all").alias("n"), (F.col("all") - F.col("most")).alias("guests"), F.ceil(F.col("all") / F.lit(size)).alias("of"))
+    mixed = mixed.withColumn("blocks", F.least("of", F.lit(-(-reach // size)).cast("long")) if reach else F.col("of"))
+    sides = F.ceil(F.col("guests") * F.col("blocks") / F.col("of") / F.lit(block)) if reach else F.lit(1).cast("long")
+    return rows.join(mixed.withColumn("sides", sides).drop("guests"), "cluster")
+
+
+def meet(wide: DataFrame, percent: int, seed: int, masks: bool) -> DataFrame:
+    """(own, theirs): the components of each guest and member (see in_blocks()) that met and are similar enough."""
     part, each = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    dealt = rows.select("cluster", part("blocks", 0).alias("turn"), each("sides").alias("side"), F.col("node").alias("b"), F.col("component").alias("theirs"), F.col("set").alias("set_b"), F.col("mask").alias("mask_b"))
-    guests = rows.where("component <> home").select("cluster", part("sides", 1).alias("side"), F.col("component").alias("own"), F.col("set").alias("mine"), F.col("mask").alias("mask_a"), each("blocks").alias("turn"))
+    dealt = wide.select("cluster", part("of", 0).alias("turn"), each("sides").alias("side"), F.col("component").alias("theirs"), F.col("set").alias("set_b"), F.col("mask").alias("mask_b"))
+    guests = wide.where("component <> home").select("cluster", part("sides", 1).alias("side"), part("of", seed).alias("from"), "of", F.col("component").alias("own"), F.col("set").alias("mine"), F.col("mask").alias("mask_a"), each("blocks").alias("turn"))
+    guests = guests.withColumn("turn", F.pmod(F.col("from") + F.col("turn"), F.col("of"))).drop("from", "of")
     # Similarity is a condition of the join itself: it is computed in generated code, and only links leave the join.
     most, least = F.greatest(F.size("mine"), F.size("set_b")), F.least(F.size("mine"), F.size("set_b"))
     enough = lambda common: (100 + percent) * common >= percent * (most + least)
     alike = percent * most <= 100 * least
-    if by_bucket:
+    if masks:
         alike = alike & enough(F.size("mine") - only_in(F.col("mask_a"), F.col("mask_b"))) & enough(F.size("set_b") - only_in(F.col("mask_b"), F.col("mask_a")))
     alike = alike & enough(F.size(F.array_intersect("mine", "set_b")))
     left, right = guests.alias("l"), dealt.alias("r")
     met = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("cluster", "turn", "side")]
-    found = left.join(right, met[0] & met[1] & met[2] & (F.col("own") != F.col("theirs")) & alike).select("own", "b").distinct()
-    # What is left to join are whole components, by the least node of each.
-    ends = found.join(parts.select(F.col("node").alias("b"), F.col("component").alias("other")), "b", "left")
-    merged = cut(components(ends.select(F.col("own").alias("a"), F.coalesce("other", "b").alias("b"))))
-    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("above"))
-    out = cut(parts.join(merged, "component", "left").select("node", F.coalesce("above", "component").alias("component")).union(merged.select("component", "above")).distinct())
-    release(pairs, linked, rows, both)
-    return out
+    return left.join(right, met[0] & met[1] & met[2] & (F.col("own") != F.col("theirs")) & alike).select("own", "theirs")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int = BINS, rows: int = ROWS) -> DataFrame:
