@@ -54,20 +54,19 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_keys(lines: DataFrame, hashes: str, name: str, kind: int, bands: int, rows: int) -> DataFrame:
-    """lines with a key for each band under a name, none where hashes (distinct) are empty; kind tells keys of different shingles apart.
+def with_keys(lines: DataFrame, hashes: str, kind: str, bands: int, rows: int) -> DataFrame:
+    """lines, of which each has a hash at least, with keys, one for each band; kind (a column of ints) tells keys of different shingles apart.
 
     Each step is a column of its own, and not a lambda, so that it runs in generated code over plain arrays of longs.
     """
     at = [-(1 << 63) + (b << 64) // bands for b in range(bands)]
     points = F.array(*map(F.lit, at))
-    own, both, ring = (f"_{name}_{x}" for x in ("own", "both", "ring"))
-    again = F.slice(F.flatten(F.array_repeat(F.slice(own, 1, rows), rows)), 1, rows)
-    lines = once(lines, own, F.sort_array(F.array_except(hashes, points)))
-    lines = once(once(lines, both, F.sort_array(F.concat(own, points))), ring, F.concat(F.col(own), again))
+    again = F.slice(F.flatten(F.array_repeat(F.slice("_own", 1, rows), rows)), 1, rows)
+    lines = once(lines, "_own", F.sort_array(F.array_except(hashes, points)))
+    lines = once(once(lines, "_both", F.sort_array(F.concat("_own", points))), "_ring", F.concat(F.col("_own"), again)).drop("_own")
     # A point's place among hashes and points, less the points before it, is the place of the first hash that follows.
-    key = lambda b: F.xxhash64(F.lit(kind * bands + b), F.slice(ring, (F.array_position(both, F.lit(at[b])) - b).cast("int"), F.lit(rows)))
-    return lines.withColumn(name, F.when(F.size(own) > 0, F.array(*map(key, range(bands)))).otherwise(F.array().cast("array<bigint>"))).drop(own, both, ring)
+    key = lambda b: F.xxhash64(F.col(kind) * bands + b, F.slice("_ring", (F.array_position("_both", F.lit(at[b])) - b).cast("int"), F.lit(rows)))
+    return lines.withColumn("keys", F.array(*map(key, range(bands)))).drop("_both", "_ring")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -77,25 +76,27 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def signed_lines(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """(id, first, keys): distinct lines, the place (doc_id, line_no, text_id) of the first, and bucket keys."""
+    """(id, lead, first, keys): distinct lines, the place (doc_id, line_no, text_id) of the first, and bucket keys. A line with both kinds of keys is two
+    rows, one of which leads."""
     lines = lines_of(docs).select(F.struct("doc_id", "line_no", "text_id").alias("place"), F.xxhash64("line").alias("id"), F.lower("line").alias("low"))
     none = F.array().cast("array<bigint>")
     found = F.regexp_extract_all(F.concat(F.lit(" "), F.col("low")), F.lit(word_starts(width)), F.lit(1))
     keyed = once(lines, "starts", F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
     keyed = once(keyed, "every", F.when(F.size("starts") < MANY, every_shingle(F.col("low"), width)).otherwise(none)).drop("low")
     keyed = once(keyed, "enough", F.when(F.size("starts") >= FEW, F.col("starts")).otherwise(none)).drop("starts")
-    keyed = with_keys(with_keys(keyed, "enough", "thin", 0, bands, rows), "every", "whole", 1, bands, rows)
-    keyed = keyed.select("id", "place", F.concat("thin", "whole").alias("keys"))
-    return keyed.groupBy("id").agg(F.min("place").alias("first"), F.any_value("keys").alias("keys"))
+    keyed = keyed.select("id", "place", (F.size("enough") == 0).alias("short"), F.posexplode(F.array("enough", "every")).alias("kind", "hashes")).where("size(hashes) > 0")
+    keyed = with_keys(keyed.withColumn("lead", F.col("short") | (F.col("kind") == 0)).drop("short"), "hashes", "kind", bands, rows)
+    return keyed.groupBy("id", "lead").agg(F.min("place").alias("first"), F.any_value("keys").alias("keys"))
 
 
 def similar_lines(signed: DataFrame, docs: DataFrame, *, percent: int = 75, width: int = WIDTH) -> DataFrame:
     """(id, component) of the lines (see signed_lines) that are linked with another one."""
-    banded = signed.select(F.col("id").alias("doc_id"), F.explode("keys").alias("key"))
+    # Keys are dealt out once: what counts them and what keeps the shared ones read the same shuffle files.
+    banded = signed.select(F.col("id").alias("doc_id"), F.explode("keys").alias("key")).repartition("key")
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
-    members = cut(banded.join(shared, "key"))
+    members = cut(banded.join(shared.hint("shuffle_hash"), "key"))
     # The texts of these lines are read from the place of the first, which no other line shares: no key of this join is hot.
-    asked = signed.select("id", "first").join(members.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    asked = signed.where("lead").select("id", "first").join(members.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     places = ["doc_id", "line_no", "text_id"]
     texts = lines_of(docs).withColumn("low", F.lower("line")).select(*places, "low").join(asked.select(F.col("id").alias("own"), "first.*").hint("shuffle_hash"), places).dropDuplicates(["own"])
     sets = cut(texts.select(F.col("own").alias("doc_id"), every_shingle(F.col("low"), width, F.hash).alias("set")).select("doc_id", F.size("set").alias("n"), "set"))
@@ -111,7 +112,7 @@ def kept_lines(docs: DataFrame, **options) -> DataFrame:
     like = {k: options.pop(k) for k in ("percent",) if k in options}
     signed = cut(signed_lines(docs, **options))
     parts = similar_lines(signed, docs, **like, **{k: v for k, v in options.items() if k == "width"})
-    placed = signed.select("id", "first").join(parts, "id", "left")
+    placed = signed.where("lead").select("id", "first").join(parts, "id", "left")
     alone = placed.where("component IS NULL").select("first")
     led = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("first")).select("first")
     out = cut(alone.union(led).select("first.*").groupBy("doc_id", "text_id").agg(F.collect_list("line_no").alias("kept")))

@@ -28,8 +28,8 @@ BINS, ROWS = 128, 4
 BLOCK, BUCKET_BLOCK = 32, 256
 #: In the first round a guest of a bucket meets so many members, in each further one so many times more.
 SAMPLE = 16
-#: Longs of 64 bits that stand for a set.
-MASKS = 4
+#: Longs of 64 bits that stand for a set: enough that those of a line of several hundred characters are far from full.
+MASKS = 16
 
 LONG = T.LongType()
 
@@ -117,14 +117,28 @@ def confirmed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return both.where((100 + percent) * F.size(F.array_intersect("set_a", "set_b")) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
 
 
+def bit_of(x: Column, i: int, other: Column) -> Column:
+    """The bit of an element in the i-th long of a mask, by its lowest bits; other, if it is in another long."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))
+    return F.when(F.shiftright(x, 6).bitwiseAND(F.lit(MASKS - 1)) == i, bit).otherwise(other)
+
+
 def masked(sets: Column) -> Column:
     """A set (array of ints) as MASKS longs: an element is one bit, by its lowest bits."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))
-    word = lambda i: F.aggregate(sets, F.lit(0).cast("long"), lambda m, x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(MASKS - 1)) == i, m.bitwiseOR(bit(x))).otherwise(m))
+    none = F.lit(0).cast("long")
+    word = lambda i: F.aggregate(sets, none, lambda m, x: m.bitwiseOR(bit_of(x, i, none)))
     return F.array(*map(word, range(MASKS)))
 
 
-def only_in(a: Column, b: Column) -> Column:
+def masks_of(sets: DataFrame) -> DataFrame:
+    """(node, mask) of sets (doc_id, set): what masked() makes, by an aggregation, which runs in generated code."""
+    none = F.lit(0).cast("long")
+    each = sets.select(F.col("doc_id").alias("node"), F.explode_outer("set").alias("x"))
+    words = each.groupBy("node").agg(*(F.bit_or(bit_of(F.col("x"), i, none)).alias(f"m{i}") for i in range(MASKS)))
+    return words.select("node", F.array(*(F.col(f"m{i}") for i in range(MASKS))).alias("mask"))
+
+
+def only_in(a: Column | list[Column], b: Column | list[Column]) -> Column:
     """At least so many elements of a set are not in another one, by their masks: a bit that only one has stands for an element that only it has."""
     return sum((F.bit_count(a[i].bitwiseAND(F.bitwise_not(b[i]))) for i in range(1, MASKS)), F.bit_count(a[0].bitwiseAND(F.bitwise_not(b[0]))))
 
@@ -162,11 +176,11 @@ def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, bl
         clusters = both.where("g = 1").select("node", F.col("component").alias("cluster"))
     parts = both.where("g = 0").drop("g")
     rows = clusters.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    shapes = sets.select(F.col("doc_id").alias("node"), "set", (masked(F.col("set")) if by_bucket else F.lit(None)).cast("array<bigint>").alias("mask"))
     # What is left to join are whole components, by the least node of each.
     merged, reach, seed = None, SAMPLE if by_bucket else None, 2
+    wide = in_blocks(rows, block, reach).join(sets.select(F.col("doc_id").alias("node"), "set"), "node")
+    wide = cut(wide.join(masks_of(sets), "node") if by_bucket else wide.withColumn("mask", F.lit(None).cast("array<bigint>")))
     while True:
-        wide = cut(in_blocks(rows, block, reach).join(shapes, "node"))
         most = wide.agg(F.max("n")).first()[0]
         if most is None and merged is not None:
             release(wide)
@@ -176,10 +190,13 @@ def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, bl
         if not reach or (most or 0) <= reach:
             release(wide, *([last] if last else []))
             break
-        rows = wide.where(F.col("n") > reach).select("cluster", "node", "component").join(merged, "component", "left")
+        # Sets and masks go from round to round with the members that are left, and never come from the whole table again.
+        open_ = wide.where(F.col("n") > reach)
+        rows = open_.select("cluster", "node", "component").join(merged, "component", "left")
         rows = cut(rows.select("cluster", "node", F.coalesce("above", "component").alias("component")))
-        release(wide, *([last] if last else []))
         reach, seed = reach * SAMPLE, seed + 1
+        old, wide = wide, cut(in_blocks(rows, block, reach).join(open_.select("cluster", "node", "set", "mask"), ["cluster", "node"]))
+        release(old, rows, *([last] if last else []))
     out = cut(parts.join(merged, "component", "left").select("node", F.coalesce("above", "component").alias("component")).union(merged.select("component", "above")).distinct())
     release(pairs, linked, both, merged)
     return out
@@ -200,15 +217,17 @@ def in_blocks(rows: DataFrame, block: int, reach: int | None) -> DataFrame:
 def meet(wide: DataFrame, percent: int, seed: int, masks: bool) -> DataFrame:
     """(own, theirs): the components of each guest and member (see in_blocks()) that met and are similar enough."""
     part, each = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    dealt = wide.select("cluster", part("of", 0).alias("turn"), each("sides").alias("side"), F.col("component").alias("theirs"), F.col("set").alias("set_b"), F.col("mask").alias("mask_b"))
-    guests = wide.where("component <> home").select("cluster", part("sides", 1).alias("side"), part("of", seed).alias("from"), "of", F.col("component").alias("own"), F.col("set").alias("mine"), F.col("mask").alias("mask_a"), each("blocks").alias("turn"))
+    words = lambda x: [F.col("mask")[i].alias(f"{x}{i}") for i in range(MASKS if masks else 0)]
+    dealt = wide.select("cluster", part("of", 0).alias("turn"), each("sides").alias("side"), F.col("component").alias("theirs"), F.col("set").alias("set_b"), *words("mask_b"))
+    guests = wide.where("component <> home").select("cluster", part("sides", 1).alias("side"), part("of", seed).alias("from"), "of", F.col("component").alias("own"), F.col("set").alias("mine"), *words("mask_a"), each("blocks").alias("turn"))
     guests = guests.withColumn("turn", F.pmod(F.col("from") + F.col("turn"), F.col("of"))).drop("from", "of")
     # Similarity is a condition of the join itself: it is computed in generated code, and only links leave the join.
     most, least = F.greatest(F.size("mine"), F.size("set_b")), F.least(F.size("mine"), F.size("set_b"))
     enough = lambda common: (100 + percent) * common >= percent * (most + least)
     alike = percent * most <= 100 * least
     if masks:
-        alike = alike & enough(F.size("mine") - only_in(F.col("mask_a"), F.col("mask_b"))) & enough(F.size("set_b") - only_in(F.col("mask_b"), F.col("mask_a")))
+        a, b = ([F.col(f"{x}{i}") for i in range(MASKS)] for x in ("mask_a", "mask_b"))
+        alike = alike & enough(F.size("mine") - only_in(a, b)) & enough(F.size("set_b") - only_in(b, a))
     alike = alike & enough(F.size(F.array_intersect("mine", "set_b")))
     left, right = guests.alias("l"), dealt.alias("r")
     met = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("cluster", "turn", "side")]
