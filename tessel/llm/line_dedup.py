@@ -62,9 +62,9 @@ def with_keys(lines: DataFrame, hashes: str, kind: str, bands: int, rows: int) -
     at = [-(1 << 63) + (b << 64) // bands for b in range(bands)]
     points = F.array(*map(F.lit, at))
     again = F.slice(F.flatten(F.array_repeat(F.slice("_own", 1, rows), rows)), 1, rows)
-    lines = once(lines, "_own", F.sort_array(F.array_except(hashes, points)))
+    lines = once(lines, "_own", F.sort_array(hashes))
     lines = once(once(lines, "_both", F.sort_array(F.concat("_own", points))), "_ring", F.concat(F.col("_own"), again)).drop("_own")
-    # A point's place among hashes and points, less the points before it, is the place of the first hash that follows.
+    # A point's place among hashes and points, less the points before it, is the place of the first hash that follows (or is the point's own number).
     key = lambda b: F.xxhash64(F.col(kind) * bands + b, F.slice("_ring", (F.array_position("_both", F.lit(at[b])) - b).cast("int"), F.lit(rows)))
     return lines.withColumn("keys", F.array(*map(key, range(bands)))).drop("_both", "_ring")
 
@@ -79,7 +79,8 @@ def signed_lines(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, width
     """(id, lead, first, keys): distinct lines, the place (doc_id, line_no, text_id) of the first, and bucket keys. A line with both kinds of keys is two
     rows, one of which leads."""
     lines = lines_of(docs).select(F.struct("doc_id", "line_no", "text_id").alias("place"), F.xxhash64("line").alias("id"), F.lower("line").alias("low"))
-    none = F.array().cast("array<bigint>")
+    # An array that can hold no null: sorting one that can goes by objects and a comparator.
+    none = F.array_repeat(F.lit(0).cast("long"), 0)
     found = F.regexp_extract_all(F.concat(F.lit(" "), F.col("low")), F.lit(word_starts(width)), F.lit(1))
     keyed = once(lines, "starts", F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
     keyed = once(keyed, "every", F.when(F.size("starts") < MANY, every_shingle(F.col("low"), width)).otherwise(none)).drop("low")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessel.llm.components import components, graph_components
-from tessel.llm.shared import append, cut, id_and_text, release, with_first
+from tessel.llm.shared import append, cut, first_row, id_and_text, release, with_first
 from tessel.llm.text import LOWER, Grams, U, doc_of, hashed, inside, mix, pair, per_doc, raw, split, starts_of
 
 BINS, ROWS = 128, 4
@@ -105,7 +105,7 @@ SPREAD = 256
 
 
 def confirmed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The candidates (a, b) whose full sets are similar enough.
+    """The candidates (a, b), each there once, whose full sets are similar enough.
 
     Sizes (n) come first: pairs whose sizes alone rule the similarity out never meet a set. A hub's set goes once to each part of its candidates.
     """
@@ -114,7 +114,7 @@ def confirmed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     dealt = sized.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SPREAD)))
     hubs = dealt.select("a", "part").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
     both = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").join(hubs, ["a", "part"])
-    return both.where((100 + percent) * F.size(F.array_intersect("set_a", "set_b")) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    return both.where((100 + percent) * F.size(F.array_intersect("set_a", "set_b")) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def bit_of(x: Column, i: int, other: Column) -> Column:
@@ -181,7 +181,7 @@ def link(members: DataFrame, sets: DataFrame, percent: int, known: DataFrame, bl
     wide = in_blocks(rows, block, reach).join(sets.select(F.col("doc_id").alias("node"), "set"), "node")
     wide = cut(wide.join(masks_of(sets), "node") if by_bucket else wide.withColumn("mask", F.lit(None).cast("array<bigint>")))
     while True:
-        most = wide.agg(F.max("n")).first()[0]
+        most = first_row(wide.agg(F.max("n")))[0]
         if most is None and merged is not None:
             release(wide)
             break
